@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import orc_tokens, packing
+from . import orc_tokens, packing, quality_rules, secrets
 from .common import read_table, spread
 
 
@@ -15,6 +15,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(read_table(spark, sf_dir, "documents"))
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(_documents(spark, sf_dir))
+
+
 def op2_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir))
 
@@ -23,8 +27,13 @@ def op4_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orc_tokens.encode_corpus(_documents(spark, sf_dir))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return quality_rules.judge(docs, quality_rules.fit(quality_rules.sample_labelled(docs, read_table(spark, sf_dir, "labels"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_mixture_packing": op2_mixture_packing, "op4_orc_tokens": op4_orc_tokens}
+    return {f.__name__: f for f in (op1_secret_scan, op2_mixture_packing, op4_orc_tokens, op8_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
