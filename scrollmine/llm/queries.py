@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import orc_tokens, packing, quality_rules, secrets
+from . import near_dup, orc_tokens, packing, quality_rules, secrets
 from .common import read_table, spread
 
 
@@ -32,8 +32,12 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, quality_rules.fit(quality_rules.sample_labelled(docs, read_table(spark, sf_dir, "labels"))))
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_mixture_packing, op4_orc_tokens, op8_quality_rules)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_mixture_packing, op4_orc_tokens, op8_quality_rules, op9_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
