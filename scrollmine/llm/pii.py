@@ -68,13 +68,15 @@ def _base_view(kind: str, text: Column) -> tuple[Column, str]:
     return text, r"\+[0-9][ ().0-9-]+[0-9]"
 
 
-def _running(lengths: Column, block: int = 64) -> Column:
-    """The sum of the elements before each element, in blocks so that long arrays don't cost their square."""
+def _running(df: DataFrame, lengths: str, name: str, block: int = 64) -> DataFrame:
+    """df with `name`: the sum of the elements before each element of an array, in blocks so that long arrays don't cost their square."""
     total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
     n = F.size(lengths)
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / block).cast("int")), lambda b: total(F.slice(lengths, b * block + 1, block)))
-    before = F.aggregate(blocks, F.array(F.lit(0)), lambda a, x: F.array_append(a, F.element_at(a, -1) + x))
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(before, F.floor(i / block).cast("int")) + total(F.slice(lengths, F.floor(i / block).cast("int") * block + 1, i % block)))
+    df = df.withColumn("__blocks", F.when(n > 0, F.transform(F.sequence(F.lit(0), F.floor((n - 1) / block).cast("int")), lambda b: total(F.slice(lengths, b * block + 1, block)))))
+    df = df.withColumn("__blocks", F.aggregate("__blocks", F.array(F.lit(0)), lambda a, x: F.array_append(a, F.element_at(a, -1) + x)))
+    # columns of their own, so that no element computes them again
+    start = lambda i: F.get("__blocks", F.floor(i / block).cast("int")) + total(F.slice(lengths, F.floor(i / block).cast("int") * block + 1, i % block))
+    return df.withColumn(name, F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), start))).drop("__blocks")
 
 
 _SPANS = "array<struct<start:int,end:int,found:string>>"
@@ -87,13 +89,10 @@ def _spans(df: DataFrame, name: str, view: Column, pattern: str, gate: str) -> D
     df = df.withColumn("__hits", F.regexp_extract_all("__view", F.lit(pattern), F.lit(0)))
     df = df.withColumn("__gaps", F.when(F.size("__hits") > 0, F.split("__view", pattern, -1)))
     # lengths of gap and match by turns; a match begins after all that stands before it
-    df = df.withColumn("__steps", F.when(F.size("__hits") > 0, F.zip_with(F.slice("__gaps", 1, F.size("__hits")), "__hits", lambda g, h: F.struct(F.length(g).alias("gap"), F.length(h).alias("hit")))))
-    df = df.withColumn("__before", F.when(F.col("__steps").isNotNull(), _running(F.transform("__steps", lambda s: s["gap"] + s["hit"]))))
-    spans = F.transform(
-        F.arrays_zip(F.col("__steps").alias("s"), F.col("__before").alias("b"), F.col("__hits").alias("h")),
-        lambda z: F.struct((z["b"] + z["s"]["gap"]).cast("int").alias("start"), (z["b"] + z["s"]["gap"] + z["s"]["hit"]).cast("int").alias("end"), z["h"].alias("found")),
-    )
-    return df.withColumn(name, F.coalesce(F.when(F.col("__steps").isNotNull(), spans), F.array().cast(_SPANS))).drop("__view", "__hits", "__gaps", "__steps", "__before")
+    df = df.withColumn("__steps", F.when(F.size("__hits") > 0, F.zip_with(F.slice("__gaps", 1, F.size("__hits")), "__hits", lambda g, h: F.length(g) + F.length(h))))
+    df = _running(df, "__steps", "__before")
+    span = lambda h, i: F.struct((F.get("__before", i) + F.get("__steps", i) - F.length(h)).alias("start"), (F.get("__before", i) + F.get("__steps", i)).alias("end"), h.alias("found"))
+    return df.withColumn(name, F.coalesce(F.when(F.col("__steps").isNotNull(), F.transform("__hits", span)), F.array().cast(_SPANS))).drop("__view", "__hits", "__gaps", "__steps", "__before")
 
 
 def _digits(found: Column) -> Column:
@@ -135,7 +134,7 @@ def _features(generator: int, text: Column, c: Column) -> Column:
     values = [
         F.lit(generator), F.length(found), F.length(_digits(found)), F.length(F.regexp_replace(found, "[^A-Za-z]", "")), F.length(seps),
         F.size(F.array_distinct(F.split(seps, ""))), F.size(F.array_distinct(F.split(_digits(found), ""))),
-        F.when((F.length(_digits(found)) > 0) & _luhn(F.rpad(_digits(found), 1, "0")), 1).otherwise(0) if False else F.lit(0),
+        F.when(F.length(_digits(found)) >= 9, _luhn(_digits(found)).cast("int")).otherwise(0),
         before.rlike(rf"\b(?:{own})").cast("int"), before.rlike(rf"\b(?:{others})").cast("int"), before.rlike(r"[:=#] ?$").cast("int"), before.rlike(r"[0-9][ ,.]*$").cast("int"),
         after.rlike("^ ?(?:usd|eur|kg|km|cm|mm|ms|%|pages?|items?|[$€£])").cast("int"), found.rlike(r"[()\[\]{}]").cast("int"), (before.rlike(r"(?:^|\n)\s*$")).cast("int"), F.length(F.regexp_replace(found, "[^A-Z]", "")),
     ]
@@ -147,8 +146,11 @@ def candidates(docs: DataFrame) -> DataFrame:
     df = docs
     for kind, (pattern, _) in GENERATORS.items():
         df = _spans(df, f"__{kind}", F.col("text"), pattern, _GATES[kind])
-    parts = [F.transform(f"__{kind}", lambda c, i=i, kind=kind: F.struct(F.lit(kind).alias("kind"), c["start"].alias("start"), c["end"].alias("end"), _features(i, F.col("text"), c).alias("x"))) for i, kind in enumerate(GENERATORS)]
-    return df.withColumn("proposed", F.concat(*parts)).drop(*(f"__{kind}" for kind in GENERATORS))
+
+    def part(i: int, kind: str) -> Column:
+        return F.transform(f"__{kind}", lambda c: F.struct(F.lit(kind).alias("kind"), c["start"].alias("start"), c["end"].alias("end"), _features(i, F.col("text"), c).alias("x")))
+
+    return df.withColumn("proposed", F.concat(*(part(i, kind) for i, kind in enumerate(GENERATORS)))).drop(*(f"__{kind}" for kind in GENERATORS))
 
 
 # --- boosted trees -------------------------------------------------------------------------------------------------
@@ -211,7 +213,7 @@ class Boosted:
         self.thresholds = []
         for g in range(len(GENERATORS)):
             own = x[held][:, 0] == g
-            cuts = [c for c in np.unique(np.round(p[own], 3)) if c >= 0.5 and t[own][p[own] >= c].mean() >= PRECISION]
+            cuts = [c for c in np.unique(np.round(p[own], 3)) if c >= 0.5 and (own & (p >= c)).any() and t[own & (p >= c)].mean() >= PRECISION]
             self.thresholds.append(float(min(cuts)) if cuts else 0.99)
 
     def margin(self, x: np.ndarray) -> np.ndarray:
@@ -315,7 +317,8 @@ def find_spans(docs: DataFrame, model: Boosted | None = None) -> DataFrame:
 def digests(found: DataFrame) -> DataFrame:
     """One row per document: counts by kind, the digest of the base spans, and all spans."""
     joined = lambda a: F.array_join(F.transform(a, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE]
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    counts = [count(k) for k in BASE]
     return found.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.concat("base", "added")).alias("spans"), F.size("added").cast("long").alias("n_added"))
 
 

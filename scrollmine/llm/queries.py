@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dup, orc_tokens, packing, quality_rules, secrets
+from . import near_dup, orc_tokens, packing, pii, quality_rules, secrets
 from .common import read_table, spread
 
 
@@ -23,6 +23,10 @@ def op2_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir))
 
 
+def op3_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.find_spans(_documents(spark, sf_dir)))
+
+
 def op4_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orc_tokens.encode_corpus(_documents(spark, sf_dir))
 
@@ -37,7 +41,7 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_mixture_packing, op4_orc_tokens, op8_quality_rules, op9_near_duplicates)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_mixture_packing, op3_pii_spans, op4_orc_tokens, op8_quality_rules, op9_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
