@@ -36,7 +36,7 @@ SAMPLES = BANDS * ROWS
 SKETCH_BITS = 512
 ESTIMATE = 0.55
 #: Buckets with more outsiders than this take another hub; after HUB_ROUNDS hubs the join compares what is left.
-OUTSIDERS, HUB_ROUNDS = 64, 6
+OUTSIDERS, HUB_ROUNDS = 512, 6
 #: Ids of candidates are broadcast to the scan of the texts up to this many, and joined by shuffle beyond.
 BROADCAST_IDS = 500_000
 
@@ -178,8 +178,7 @@ def components(links: DataFrame, label: str = "near-components") -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = materialize(large, label)
+        large = materialize(both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")), label)
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(down, "u")
         small = joined.select("u", F.col("m").alias("v")).union(joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dup, orc_tokens, packing, pii, quality_rules, secrets
+from . import decontam, line_dedup, near_dup, orc_tokens, packing, pii, quality_rules, secrets
 from .common import read_table, spread
 
 
@@ -31,6 +31,10 @@ def op4_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orc_tokens.encode_corpus(_documents(spark, sf_dir))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(_documents(spark, sf_dir))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     return quality_rules.judge(docs, quality_rules.fit(quality_rules.sample_labelled(docs, read_table(spark, sf_dir, "labels"))))
@@ -40,9 +44,13 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_documents(spark, sf_dir))
 
 
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.report(_documents(spark, sf_dir), read_table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_mixture_packing, op3_pii_spans, op4_orc_tokens, op8_quality_rules, op9_near_duplicates)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_mixture_packing, op3_pii_spans, op4_orc_tokens, op6_line_dedup, op8_quality_rules, op9_near_duplicates, op10_benchmark_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_line_dedup": line_dedup.ORACLE_SQL, "op10_benchmark_decontamination": decontam.ORACLE_SQL}
