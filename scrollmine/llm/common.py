@@ -41,7 +41,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete tables of materialize() that nothing reads any more."""
+    for df in frames:
+        drop_path(df.sparkSession, df.scratch_path)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

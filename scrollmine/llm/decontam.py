@@ -68,7 +68,8 @@ def sketches(docs: DataFrame, extra: int) -> DataFrame:
     df = df.withColumn("shift", shift)
     bin_of = lambda x: F.call_function("shiftrightunsigned", x, F.col("shift"))
     minima = F.filter("h", lambda x, i: (i == 0) | ((x != F.get("h", i - 1)) & ((F.col("shift") == 0) | (bin_of(x) != bin_of(F.get("h", i - 1))))))
-    return df.select("doc_id", "text_hash", F.explode(minima).alias("h"))
+    # the outer form, whose rows aren't filtered below it by computing the whole array once more
+    return df.withColumn("minima", minima).select("doc_id", "text_hash", F.explode_outer("minima").alias("h")).filter("h is not null")
 
 
 def item_shingles(items: DataFrame, item_id: str = "item_id") -> DataFrame:

@@ -54,7 +54,8 @@ def windows(docs: DataFrame) -> DataFrame:
         )
 
     df = df.withColumn("w", F.filter(F.transform("l", window), lambda w: w["fits"])).drop("l")
-    return df.select("doc_id", "text_hash", F.inline("w")).drop("fits").distinct()
+    # the outer form, whose rows aren't filtered below it by computing the whole array once more
+    return df.select("doc_id", "text_hash", F.inline_outer("w")).filter("fits").drop("fits").distinct()
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ A text's set holds its distinct five-word shingles as 64-bit hashes (A-Z in lowe
 from the start, so exact copies cost nothing further. A node has SAMPLES MinHash values: BANDS bands of ROWS values
 are its bucket keys, and all of them fold into an odd sketch, a bitmap in which every (place, value) flips one bit.
 The bits in which two sketches differ estimate the similarity of their sets precisely where it is high; only pairs
-whose estimate reaches ESTIMATE (five standard deviations below the threshold) are confirmed on their full sets.
+whose estimate reaches ESTIMATE (four standard deviations below the threshold) are confirmed on their full sets.
 
 No bucket emits all its pairs. In a first round every node of a bucket is paired with the bucket's first node (the
 hub), linked pairs become components, and then only nodes outside the component of their bucket's hub ("outsiders")
@@ -28,13 +28,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import base_columns, batches, materialize, texts_of
+from .common import base_columns, batches, materialize, release, texts_of
 
 WIDTH, PERCENT = 5, 75
 BANDS, ROWS = 32, 4
 SAMPLES = BANDS * ROWS
 SKETCH_BITS = 512
-ESTIMATE = 0.55
+ESTIMATE = 0.6
 #: Buckets with more outsiders than this take another hub; after HUB_ROUNDS hubs the join compares what is left.
 OUTSIDERS, HUB_ROUNDS = 512, 6
 #: Ids of candidates are broadcast to the scan of the texts up to this many, and joined by shuffle beyond.
@@ -165,7 +165,9 @@ def confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     found = base_columns(docs, "doc_id", "text").join(ids.withColumnRenamed("doc_id", "wanted_id"), F.col("doc_id").eqNullSafe(F.col("wanted_id")))
     texts = materialize(found.select("node", "text", "set_key").mapInArrow(_own_sets, "node long, text string"), "near-texts")
     left, right = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(left, "a").join(right, "b").mapInArrow(_confirm, "a long, b long")
+    links = materialize(pairs.join(left, "a").join(right, "b").mapInArrow(_confirm, "a long, b long"), "near-links")
+    release(wanted, texts)
+    return links
 
 
 def components(links: DataFrame, label: str = "near-components") -> DataFrame:
@@ -182,7 +184,8 @@ def components(links: DataFrame, label: str = "near-components") -> DataFrame:
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(down, "u")
         small = joined.select("u", F.col("m").alias("v")).union(joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
-        edges = materialize(small, label)
+        done, edges = edges, materialize(small, label)
+        release(done, large)
         state = edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
         if state == before:
             break
@@ -203,7 +206,7 @@ def _alike(x: str, y: str) -> F.Column:
 
 def find_links(nodes: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(links, components) between the nodes (node, doc_id, set_key, n_shingles, bands, sketch) of different sets."""
-    traits = nodes.select("node", "n_shingles", "sketch")
+    traits = nodes.select("node", "n_shingles", "sketch", "bands")
     banded = nodes.select("node", F.explode("bands").alias("bucket"))
     buckets = banded.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("hub")).filter("size > 1")
     members = materialize(banded.join(buckets, "bucket").select("bucket", "node", "hub", "size"), "near-members")
@@ -213,7 +216,9 @@ def find_links(nodes: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]
         left = pairs.join(traits.select(F.col("node").alias("a"), F.col("n_shingles").alias("a_n_shingles"), F.col("sketch").alias("a_sketch")), "a")
         both = left.join(traits.select(F.col("node").alias("b"), F.col("n_shingles").alias("b_n_shingles"), F.col("sketch").alias("b_sketch")), "b")
         likely = materialize(both.filter(_alike("a_", "b_")).select("a", "b"), "near-pairs")
-        return materialize(confirm(likely, nodes, docs), "near-links")
+        links = confirm(likely, nodes, docs)
+        release(likely)
+        return links
 
     links = tested(members.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
     comps = components(links)
@@ -232,11 +237,15 @@ def find_links(nodes: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]
         open_ = materialize(_unsettled(open_, comps), "near-open")
     outsiders = open_.filter("node_comp <> hub_comp").select("bucket", F.col("node").alias("a"), F.col("node_comp").alias("a_comp"))
     others = open_.select("bucket", F.col("node").alias("b"), F.col("node_comp").alias("b_comp"))
-    with_traits = lambda df, k: df.join(traits.select(F.col("node").alias(k), F.col("n_shingles").alias(f"{k}_n_shingles"), F.col("sketch").alias(f"{k}_sketch")), k)
+    with_traits = lambda df, k: df.join(traits.select(F.col("node").alias(k), F.col("n_shingles").alias(f"{k}_n_shingles"), F.col("sketch").alias(f"{k}_sketch"), F.col("bands").alias(f"{k}_bands")), k)
+    # a pair that shares several buckets is made in the first of them alone
     left, right = with_traits(outsiders, "a"), with_traits(others, "b")
-    cross = left.join(right, (left["bucket"] == right["bucket"]) & (F.col("a_comp") != F.col("b_comp")) & _alike("a_", "b_"))
+    shared = F.filter("a_bands", lambda x, i: x == F.get("b_bands", i))
+    once = F.get(shared, F.lit(0)) == left["bucket"]
+    cross = left.join(right, (left["bucket"] == right["bucket"]) & (F.col("a_comp") != F.col("b_comp")) & _alike("a_", "b_") & once)
     pairs = materialize(cross.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "near-pairs")
     links = materialize(links.union(confirm(pairs, nodes, docs)), "near-links")
+    release(open_, pairs, members)
     return links, components(links)
 
 

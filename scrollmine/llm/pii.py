@@ -282,7 +282,7 @@ def fit(spark: SparkSession, texts: int = TRAINING) -> Boosted:
     if texts not in _fitted:
         rows = training_texts(texts)
         table = spark.createDataFrame([(i, t) for i, (t, *_) in enumerate(rows)], "doc_id long, text string")
-        found = candidates(table).select("doc_id", F.explode("proposed").alias("c")).select("doc_id", "c.kind", "c.start", "c.end", "c.x").collect()
+        found = candidates(table).select("doc_id", F.explode_outer("proposed").alias("c")).filter("c is not null").select("doc_id", "c.kind", "c.start", "c.end", "c.x").collect()
         found.sort(key=lambda r: (r["doc_id"], r["kind"], r["start"]))
         truth = [float(rows[r["doc_id"]][3] and r["start"] < rows[r["doc_id"]][2] and rows[r["doc_id"]][1] < r["end"]) for r in found]
         _fitted[texts] = Boosted(np.array([r["x"] for r in found]), np.array(truth))
