@@ -63,6 +63,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tune(spark: SparkSession) -> None:
+    """Arrow batches of a thousand rows and 32 MB at most, as documents may be long; settings of the caller's own stay."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+
+
 def spread(df: DataFrame, rows_per_task: int = 4096) -> DataFrame:
     """Deal a table held in few splits over more tasks; a table with enough splits is left as it is.
 

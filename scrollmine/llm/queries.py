@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, line_dedup, near_dup, orc_tokens, packing, pii, quality_rules, secrets
-from .common import read_table, spread
+from . import attention_lm, decontam, fixity, line_dedup, near_dup, orc_tokens, packing, pii, quality_rules, secrets
+from .common import read_table, spread, tune
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    tune(spark)
     return spread(read_table(spark, sf_dir, "documents"))
 
 
@@ -31,10 +31,18 @@ def op4_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orc_tokens.encode_corpus(_documents(spark, sf_dir))
 
 
+def op5_fixity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixity.drill(spread(read_table(spark, sf_dir, "pages")))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(_documents(spark, sf_dir))
 
 
+def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attention_lm.score_corpus(_documents(spark, sf_dir))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     return quality_rules.judge(docs, quality_rules.fit(quality_rules.sample_labelled(docs, read_table(spark, sf_dir, "labels"))))
@@ -48,9 +56,15 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontam.report(_documents(spark, sf_dir), read_table(spark, sf_dir, "benchmark"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_mixture_packing, op3_pii_spans, op4_orc_tokens, op6_line_dedup, op8_quality_rules, op9_near_duplicates, op10_benchmark_decontamination)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_mixture_packing, op3_pii_spans, op4_orc_tokens, op5_fixity_audit, op6_line_dedup, op7_lm_scores, op8_quality_rules, op9_near_duplicates, op10_benchmark_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_line_dedup": line_dedup.ORACLE_SQL, "op10_benchmark_decontamination": decontam.ORACLE_SQL}
+    return {"op5_fixity_audit": fixity.ORACLE_SQL, "op6_line_dedup": line_dedup.ORACLE_SQL, "op10_benchmark_decontamination": decontam.ORACLE_SQL}
