@@ -21,6 +21,11 @@ from .postings import corpus_stats
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
 
+def best_first() -> list[Column]:
+    """Best first, ties by chunk_id. Sums differ in their last bits with the order of rows: equal to nine places is a tie."""
+    return [F.round("score", 9).desc(), F.col("chunk_id")]
+
+
 def idf(n_docs: Column, df: Column) -> Column:
     value = F.log((n_docs - df + 0.5) / (df + 0.5))
     return F.when(value > 0, value).otherwise(LEAST_IDF)
@@ -70,8 +75,8 @@ def match_scores(query: str, postings: DataFrame, lengths: DataFrame) -> DataFra
 
 def top(scored: DataFrame, k: int) -> DataFrame:
     """The best k rows, ties by chunk_id, with their rank from 1."""
-    best = scored.orderBy(F.desc("score"), "chunk_id").limit(k)
-    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "chunk_id")))
+    best = scored.orderBy(*best_first()).limit(k)
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(*best_first())))
 
 
 def match_top(query: str, postings: DataFrame, lengths: DataFrame, k: int) -> DataFrame:
@@ -98,5 +103,5 @@ def batch_scores(queries: DataFrame, postings: DataFrame, lengths: DataFrame, re
 
 def batch_top(queries: DataFrame, postings: DataFrame, lengths: DataFrame, k: int, require_all: bool = True) -> DataFrame:
     """(query_id, chunk_id, score, rank): the best k of each query, ties by chunk_id."""
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
+    order = Window.partitionBy("query_id").orderBy(*best_first())
     return batch_scores(queries, postings, lengths, require_all).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

@@ -75,7 +75,7 @@ def _match_sql(tf: str, condition: str, count: int, limit: int | None = TOP, res
       own AS ({restricted or 'SELECT * FROM tf'}), wide AS (SELECT doc_id, {columns} FROM own GROUP BY doc_id),
       kept AS (SELECT doc_id FROM wide WHERE {condition}),
       scored AS (SELECT own.doc_id, sum({_WEIGHT}) AS score FROM own JOIN kept USING (doc_id) JOIN dfs USING (phrase) JOIN len ON len.doc_id = own.doc_id CROSS JOIN st GROUP BY own.doc_id)
-      SELECT doc_id, round(score, 6) AS score, CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM scored
+      SELECT doc_id, round(score, 6) AS score, CAST(row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS INTEGER) AS rank FROM scored
       QUALIFY rank <= {limit or 10**9}"""
 
 
@@ -150,7 +150,7 @@ _BATCH = f"""WITH {_TOKENS}, {_LENGTHS},
   need AS (SELECT item_id, count(*) AS n_terms FROM q GROUP BY 1),
   tf AS (SELECT term, doc_id, count(*) AS tf FROM tok WHERE term IN (SELECT term FROM q) GROUP BY 1, 2), dfs AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
   hits AS (SELECT q.item_id AS query_id, tf.doc_id, sum(times * {_WEIGHT}) AS score, count(*) AS found FROM q JOIN tf USING (term) JOIN dfs USING (term) JOIN len ON len.doc_id = tf.doc_id CROSS JOIN st GROUP BY 1, 2),
-  words AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM hits JOIN need ON item_id = query_id WHERE found = n_terms)"""
+  words AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM hits JOIN need ON item_id = query_id WHERE found = n_terms)"""
 
 
 def _asked(spark, d):
@@ -299,7 +299,7 @@ def orphan_embeddings(spark, d):
 
 @query("""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}\\p{Co}]+')) AS term FROM documents),
   c AS (SELECT doc_id, ('0x' || substr(md5(term), 1, 8))::BIGINT % 64 AS bucket, count(*) AS n FROM t GROUP BY 1, 2), norms AS (SELECT doc_id, sqrt(sum(n * n)) AS norm FROM c GROUP BY 1)
-  SELECT doc_id, CAST(bucket AS INTEGER) AS bucket, round(n / norm, 5) AS value FROM c JOIN norms USING (doc_id)""")
+  SELECT doc_id, CAST(bucket AS INTEGER) AS bucket, round(CAST(CAST(n / norm AS FLOAT) AS DOUBLE), 5) AS value FROM c JOIN norms USING (doc_id)""")
 def hashed_embeddings(spark, d):
     vectors = hashed_vectors(_table(spark, d, "documents"), "doc_id", "text", 64)
     return vectors.select("doc_id", F.posexplode_outer("embedding").alias("bucket", "v")).filter("v > 0").select("doc_id", "bucket", F.round(F.col("v").cast("double"), 5).alias("value"))

@@ -65,11 +65,15 @@ class HashingEmbedder(EmbeddingProvider):
 
 
 def hashed_vectors(texts: DataFrame, id_col: str, text_col: str, dimensions: int) -> DataFrame:
-    """(id, embedding) by HashingEmbedder's rule, of column functions alone; narrow."""
-    bucket = lambda t: (F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("bigint") % dimensions).cast("int")
-    df = texts.select(id_col, F.array_sort(F.transform(tokens(text_col), bucket)).alias("__b"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda d: F.size(F.filter("__b", lambda b: b == d)).cast("float"))
-    return df.select(id_col, counts.alias("__v")).select(id_col, normalized("__v").alias("embedding"))
+    """(id, embedding) by HashingEmbedder's rule, of column functions alone, for texts with tokens.
+
+    Tokens are counted by id and bucket before the shuffle, so at most `dimensions` rows a text travel.
+    """
+    bucket = (F.conv(F.substring(F.md5("t"), 1, 8), 16, 10).cast("bigint") % dimensions).cast("int")
+    counts = texts.select(id_col, F.explode(tokens(text_col)).alias("t")).groupBy(id_col, bucket.alias("b")).agg(F.count("*").cast("float").alias("n"))
+    maps = counts.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("b", "n"))).alias("m"))
+    vector = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda d: F.coalesce(F.element_at("m", d), F.lit(0.0).cast("float")))
+    return maps.select(id_col, vector.alias("v")).select(id_col, normalized("v").alias("embedding"))
 
 
 class HttpEmbedder(EmbeddingProvider):
