@@ -63,7 +63,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_mixture_packing, op3_pii_spans, op4_orc_tokens, op5_fixity_audit, op6_line_dedup, op7_lm_scores, op8_quality_rules, op9_near_duplicates, op10_benchmark_decontamination)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_mixture_packing, op3_pii_spans, op4_orc_tokens, op5_fixity_audit, op6_line_dedup, op7_lm_scores, op8_quality_rules, op9_near_duplicates, op10_benchmark_decontamination, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
