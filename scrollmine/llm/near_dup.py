@@ -194,8 +194,11 @@ def components(links: DataFrame, label: str = "near-components") -> DataFrame:
 
 
 def _differing(x: str, y: str) -> F.Column:
-    """Bits in which two sketch columns differ."""
-    return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q)).cast("int")), F.lit(0), lambda s, v: s + v)
+    """Bits in which two sketch columns differ, word by word, so that the join's condition is compiled code."""
+    total = F.lit(0)
+    for i in range(SKETCH_BITS // 64):
+        total = total + F.bit_count(F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))).cast("int")
+    return total
 
 
 def _alike(x: str, y: str) -> F.Column:
@@ -229,7 +232,10 @@ def find_links(nodes: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]
         if crowded.isEmpty():
             break
         paired = open_.join(crowded, "bucket").filter("node <> next").select(F.col("node").alias("a"), F.col("next").alias("b")).distinct()
-        links = materialize(links.union(tested(paired)), "near-links")
+        further = tested(paired)
+        if further.isEmpty():
+            break  # a crowd of unlike nodes, which another hub would not thin out
+        links = materialize(links.union(further), "near-links")
         comps = components(links)
         # the component of the new hub may be the larger one: outsiders are counted against it from now on
         open_ = open_.join(crowded.select("bucket", "next"), "bucket", "left").select("bucket", "node", F.coalesce("next", "hub").alias("hub"))
@@ -244,8 +250,11 @@ def find_links(nodes: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]
     once = F.get(shared, F.lit(0)) == left["bucket"]
     cross = left.join(right, (left["bucket"] == right["bucket"]) & (F.col("a_comp") != F.col("b_comp")) & _alike("a_", "b_") & once)
     pairs = materialize(cross.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "near-pairs")
-    links = materialize(links.union(confirm(pairs, nodes, docs)), "near-links")
+    further = confirm(pairs, nodes, docs)
     release(open_, pairs, members)
+    if further.isEmpty():
+        return links, comps
+    links = materialize(links.union(further), "near-links")
     return links, components(links)
 
 
