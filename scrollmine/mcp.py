@@ -18,7 +18,7 @@ def _text(description: str, **more) -> dict:
 
 TOOLS = [
     {
-        "name": "recall_search",
+        "name": "search",
         "description": "Search the indexed documents by keywords and vectors, optionally reranked; returns paths, line numbers and text.",
         "inputSchema": {
             "type": "object",
@@ -32,8 +32,8 @@ TOOLS = [
             "required": ["query"],
         },
     },
-    {"name": "recall_index", "description": "Index the files that are new or changed.", "inputSchema": {"type": "object", "properties": {"path": _text("A folder to index instead of the configured ones")}}},
-    {"name": "recall_status", "description": "How many files, chunks and embeddings the index has, and when it was last updated.", "inputSchema": {"type": "object", "properties": {}}},
+    {"name": "index", "description": "Index the files that are new or changed.", "inputSchema": {"type": "object", "properties": {"path": _text("A folder to index instead of the configured ones")}}},
+    {"name": "status", "description": "How many files, chunks and embeddings the index has, and when it was last updated.", "inputSchema": {"type": "object", "properties": {}}},
 ]
 
 
@@ -62,7 +62,8 @@ class Server:
         return formats.status_tool_json(store.stats(), *store.embedding_stats(), store.root)
 
     def call(self, params: dict) -> dict:
-        tool = {"recall_search": self.tool_search, "recall_index": self.tool_index, "recall_status": self.tool_status}.get(params.get("name"))
+        # clients may know the tools with a prefix, as in x_search
+        tool = {"search": self.tool_search, "index": self.tool_index, "status": self.tool_status}.get(str(params.get("name") or "").rpartition("_")[2])
         try:
             if tool is None:
                 raise ValueError(f"Unknown tool: {params.get('name') or ''}")

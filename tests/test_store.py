@@ -251,7 +251,7 @@ def test_engine_cli_and_server(spark, tmp_path, tree, capsys):
     assert json.loads(capsys.readouterr().out)["embedded_count"] == 5
     server = Server(engine)
     ask = lambda method, **params: json.dumps({"jsonrpc": "2.0", "id": 1, "method": method, "params": params})
-    lines = [ask("initialize"), "", ask("notifications/initialized"), "{oops", ask("tools/list"), ask("nope"), ask("tools/call", name="recall_search", arguments={"query": "gamma"}), ask("tools/call", name="recall_status", arguments={}), ask("tools/call", name="x", arguments={}), ask("tools/call", name="recall_index", arguments={})]
+    lines = [ask("initialize"), "", ask("notifications/initialized"), "{oops", ask("tools/list"), ask("nope"), ask("tools/call", name="x_search", arguments={"query": "gamma"}), ask("tools/call", name="status", arguments={}), ask("tools/call", name="x", arguments={}), ask("tools/call", name="index", arguments={})]
     sink = io.StringIO()
     server.serve(io.StringIO("\n".join(lines) + "\n"), sink)
     out = [json.loads(x) for x in sink.getvalue().splitlines()]
