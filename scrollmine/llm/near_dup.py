@@ -4,14 +4,15 @@ A text's set holds its distinct five-word shingles as 64-bit hashes (A-Z in lowe
 from the start, so exact copies cost nothing further. A node has SAMPLES MinHash values: BANDS bands of ROWS values
 are its bucket keys, and all of them fold into an odd sketch, a bitmap in which every (place, value) flips one bit.
 The bits in which two sketches differ estimate the similarity of their sets precisely where it is high; only pairs
-whose estimate reaches ESTIMATE (four standard deviations below the threshold) are confirmed on their full sets.
+whose estimate reaches ESTIMATE (over five standard deviations below the threshold) are confirmed on their full sets.
 
 No bucket emits all its pairs. In a first round every node of a bucket is paired with the bucket's first node (the
 hub), linked pairs become components, and then only nodes outside the component of their bucket's hub ("outsiders")
 are compared within the bucket, the sketch being a condition of that join; buckets with many outsiders take further
 hubs before that. So every candidate pair is either tested or lies in one component already: nothing is capped.
 
-A pair with similarity 0.75 shares a bucket with probability 1 - (1 - 0.75**4)**32 = 0.999995.
+A pair with similarity 0.75 shares no bucket with probability (1 - 0.75**4)**32 = 5.2e-6, and its sketches differ in
+more than MOST_DIFFERING bits with probability 2.2e-7: together it is missed with probability 5.4e-6 at most.
 
 Defined cases: texts without words (or null) have an empty set, no links, and are their own component; repeated rows
 are equal sets; a null doc_id takes the smallest doc_id of its component (null if there is none) and is kept only if
@@ -34,7 +35,7 @@ WIDTH, PERCENT = 5, 75
 BANDS, ROWS = 32, 4
 SAMPLES = BANDS * ROWS
 SKETCH_BITS = 512
-ESTIMATE = 0.6
+ESTIMATE = 0.5
 #: Buckets with more outsiders than this take another hub; after HUB_ROUNDS hubs the join compares what is left.
 OUTSIDERS, HUB_ROUNDS = 512, 6
 #: Ids of candidates are broadcast to the scan of the texts up to this many, and joined by shuffle beyond.

@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -111,3 +112,24 @@ def test_components_of_a_long_chain(spark):
 @pytest.mark.parametrize("text", ["a b c d", "A b c d e f", "x " * 50])
 def test_set_sizes(text):
     assert len(N.shingle_set(text)) == len(brute_set(text))
+
+
+def test_sketches_miss_less_than_the_bands():
+    """The exact chance that a pair at the threshold has more differing bits than MOST_DIFFERING."""
+    bits, share, k = N.SKETCH_BITS, N.PERCENT / 100, np.arange(N.SKETCH_BITS + 1)
+    chance, missed = np.zeros(bits + 1), 0.0  # of each number of differing bits
+    chance[0] = 1
+    for differing in range(N.SAMPLES + 1):
+        of_samples = math.comb(N.SAMPLES, differing) * (1 - share) ** differing * share ** (N.SAMPLES - differing)
+        missed += of_samples * chance[N.MOST_DIFFERING + 1 :].sum()
+        for _ in range(2):  # a differing sample flips one bit in either sketch
+            more, less = chance[:-1] * (bits - k[:-1]) / bits, chance[1:] * k[1:] / bits
+            chance = np.append(0, more) + np.append(less, 0)
+    assert missed < 5e-6 < (1 - share**N.ROWS) ** N.BANDS
+
+
+def test_a_pair_at_the_threshold_with_unlike_sketches(spark):
+    words = (lambda rnd: [f"w{rnd.randrange(10**6)}" for _ in range(60)])(random.Random(15030))
+    texts = [" ".join(words[:53]), " ".join(words[7:])]  # 42 of 56 shingles are shared; the sketches differ in 94 bits
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in N.near_duplicates(documents(spark, texts)).collect()}
+    assert got == brute(texts) == {0: (49, 0), 1: (49, 0)}
