@@ -33,13 +33,14 @@ GENERATORS = {
     "national_id": (r"(?<![0-9A-Za-z.-])[0-9]{3}+[- ][0-9]{2}+[- ][0-9]{4}+(?![0-9A-Za-z-])", "ssn|social|security|id|tax|insurance"),
     "iban": (r"(?<![0-9A-Za-z])[A-Z]{2}+[0-9]{2}+(?: ?[A-Z0-9]{4}+){3,7}+(?: ?[A-Z0-9]{1,3}+)?(?![0-9A-Za-z])", "iban|bank|account|transfer|konto|cuenta|compte"),
 }
-#: Cheap tests that a text must pass before a pattern runs over it.
+#: Cheap tests that a text must pass before a pattern runs over it: every match of the pattern passes its test.
 _GATES = {
     "email": "[A-Za-z0-9-]@[A-Za-z0-9-]|[._%+]@[A-Za-z0-9-]",
     "ip": r"[0-9]\.[0-9]++\.[0-9]",
     "card": "[0-9](?:[ -]?[0-9]){15}",
     "phone": r"\+[0-9]",
-    "email_spelled": r"(?:\(at\)|\[at\]|\{at\}|[A-Za-z0-9] at [A-Za-z0-9-]++ (?:dot|\()| AT )",
+    # the generator from its at on: a bare one follows a space, or a local part of the full 64 characters
+    "email_spelled": r"(?:\(at\)|\[at\]|\{at\}|(?:at|AT)(?<=(?: |[A-Za-z0-9._%+-]{64})(?:at|AT))) ?[A-Za-z0-9-]{2,63}+ ?(?:\(dot\)|\[dot\]|\{dot\}|dot|DOT|\.) ?[A-Za-z0-9-]{2}",
     "phone_local": r"[0-9]{3}\)?[ ./-][0-9]{3}",
     "national_id": "[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}",
     "iban": "[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}",

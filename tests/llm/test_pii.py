@@ -98,3 +98,18 @@ def test_no_python_on_the_main_path_and_redaction(spark, model):
     plan = P.digests(found)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
     assert {r["doc_id"]: r["text"] for r in P.redacted(found).collect()} == {0: "write [email] or [phone], thanks", 1: "", 2: "plain"}
+
+
+def test_every_match_of_a_generator_passes_its_gate(spark):
+    rnd = random.Random(8)
+    parts = [" at ", "at ", " at", "(at)", " [at] ", "{at}", " AT ", " dot ", "(dot)", " [dot] ", "{dot}", ".", " . ", "DOT", "anna", "mail", "org", "x" * 64, "x" * 70, "-", " ", "é", "\n", "555", "-12-", "(555) ", "1234", "DE44", " 5001"]
+    texts = ["mail: john.smith at example.com", "contact john at example [dot] com", "reach me: anna at mail{dot}org", "write to bob at firm.de"]
+    texts += ["ssn: 123-45-6789", "call 555-123-4567 now", "IBAN DE44 5001 0517 5407 3249 31 please"]
+    texts += ["".join(rnd.choice(parts) for _ in range(rnd.randrange(3, 12))) for _ in range(4000)]
+    df = documents(spark, texts)
+    for kind, (pattern, _) in P.GENERATORS.items():
+        matched = df.filter(df["text"].rlike(pattern))
+        assert matched.count() > 0
+        assert matched.filter(~df["text"].rlike(P._GATES[kind])).select("text").take(5) == [], kind
+    proposed = {r["doc_id"]: [c["kind"] for c in r["proposed"]] for r in P.candidates(df.filter("doc_id < 4")).collect()}
+    assert proposed == {i: ["email_spelled"] for i in range(4)}
