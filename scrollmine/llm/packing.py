@@ -1,12 +1,12 @@
 """Mixture-controlled packing by deficit round-robin over source queues.
 
 Every source has a queue of its documents (in the order of a hash of doc_id). A round gives each source a quantum
-of `window * share` tokens; a source serves whole documents while its deficit is positive, and what it serves too
-much or too little is carried to its next rounds, through every partition of the data. A document that starts
-after `c` tokens of its queue is therefore served in round `c // quantum`, which makes the schedule a function of
-prefix sums, so no task has to walk the rounds. Rounds follow each other, sources take turns within a round, and
-the stream that results is cut every SEQUENCE tokens: only documents across such a border are cut, and only the
-last sequence is shorter.
+of `window * share` tokens, and documents are cut where a quantum ends: a source serves its quantum in every round,
+and only the part of a token that is left is carried on, through every partition of the data. The token after `c`
+tokens of a queue is therefore served in round `c // quantum`, which makes the schedule a function of prefix sums, so
+no task has to walk the rounds. Rounds follow each other, sources take turns within a round, and the stream that
+results is cut every SEQUENCE tokens. A round has a window's tokens but for less than one a source, so every window
+holds the target proportions but for a few tokens a source, and only the last sequence is shorter.
 
 With given shares, sources that run dry leave the remaining ones to share the rounds in their proportions.
 
@@ -22,7 +22,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import base_columns, batches, codec, materialize, scratch_path, texts_of
@@ -93,8 +93,43 @@ def _prefix(rows: DataFrame, group: str, order: list[str], value: str, name: str
     return rows.withColumn("__own", own).join(base, [*within, group]).withColumn(name, F.col("__base") + F.col("__own")).drop("__base", "__own")
 
 
+def _served(v: Column) -> Column:
+    """The whole tokens of a queue before virtual time v, from its steps; never falls from step to step."""
+    step = F.try_element_at(F.filter("steps", lambda s: s["before"] <= v), F.lit(-1))
+    tokens = F.ceil(F.least(step["served"] + (v - step["before"]) * step["share"], step["until"]))
+    return F.coalesce(F.greatest(tokens, F.ceil(step["served"])), F.lit(0)).cast("long")
+
+
+def _round(c: Column, window: int) -> Column:
+    """The round of the token after c tokens of a queue: virtual time counts the tokens of all queues before it."""
+    step = F.try_element_at(F.filter("steps", lambda s: s["served"] <= c), F.lit(-1))
+    return F.floor((step["before"] + (c - step["served"]) / step["share"]) / F.lit(window)).cast("long")
+
+
+def _cut(timed: DataFrame, window: int) -> DataFrame:
+    """timed (row, queue, n, c, steps) with a row for each part of a document in a round: start, length, round."""
+    end = F.col("c") + F.col("n")
+    df = timed.withColumn("r0", _round(F.col("c"), window)).withColumn("r1", _round(end - 1, window))
+    # one round more on either side, as quotients are rounded; parts without tokens go
+    low, high = F.greatest(F.col("r0") - 1, F.lit(0)), F.col("r1") + 1
+    by_round = F.transform(
+        F.sequence(low, high),
+        lambda r: F.struct(
+            r.alias("round"),
+            F.when(r == low, F.col("c")).otherwise(F.greatest(F.col("c"), F.least(end, _served(r * F.lit(window))))).alias("from"),
+            F.when(r == high, end).otherwise(F.greatest(F.col("c"), F.least(end, _served((r + 1) * F.lit(window))))).alias("to"),
+        ),
+    )
+    # a queue with less than a token a round has fewer tokens than rounds
+    by_token = F.transform(F.sequence(F.col("c"), end - 1), lambda t: F.struct(_round(t, window).alias("round"), t.alias("from"), (t + 1).alias("to")))
+    parts = F.filter(F.when(F.col("r1") - F.col("r0") > F.col("n"), by_token).otherwise(by_round), lambda x: x["to"] > x["from"])
+    # the outer form, whose rows aren't filtered below it by computing the parts once more
+    cut = df.withColumn("parts", parts).select("row", "queue", "c", F.explode_outer("parts").alias("p"))
+    return cut.select("row", "queue", F.col("p.from").alias("at"), (F.col("p.from") - F.col("c")).alias("start"), (F.col("p.to") - F.col("p.from")).alias("length"), "p.round")
+
+
 def schedule(sizes: DataFrame, shares: dict[str, float] | None = None, window: int = SEQUENCE) -> DataFrame:
-    """(row, round, position) of each document of sizes (doc_id, queue, row, n): its round and its place in the stream."""
+    """(row, start, length, round, position) of each part of the documents of sizes (doc_id, queue, row, n): its round and its place in the stream."""
     stats = sizes.agg(F.count("*").alias("rows"), F.countDistinct("queue").alias("queues")).first()
     groups = max(1, min(MAX_GROUPS, stats["rows"] // GROUP_ROWS))
     if stats["queues"] > MAX_QUEUES:
@@ -102,18 +137,16 @@ def schedule(sizes: DataFrame, shares: dict[str, float] | None = None, window: i
     totals = {r["queue"]: r["total"] for r in sizes.groupBy("queue").agg(F.sum("n").alias("total")).collect()}  # at most MAX_QUEUES rows
     plan = phases(totals, {f"s:{k}": v for k, v in shares.items()} if shares else None)
     spark = sizes.sparkSession
-    steps = [(q, i, float(served), float(share), float(before)) for i, (before, live) in enumerate(plan) for q, (served, share) in live.items()]
-    step_rows = spark.createDataFrame(steps, "queue string, phase int, served double, share double, before double")
+    steps = [(q, float(served), float(share), float(before), float(served + share * (plan[i + 1][0] - before)) if i + 1 < len(plan) else float(totals[q])) for i, (before, live) in enumerate(plan) for q, (served, share) in live.items()]
+    step_rows = spark.createDataFrame(steps, "queue string, served double, share double, before double, until double")
     # a queue's phases as one array, at most MAX_QUEUES rows: the last phase that begins at or before c holds
-    steps_by_queue = step_rows.groupBy("queue").agg(F.sort_array(F.collect_list(F.struct("served", "phase", "share", "before"))).alias("steps"))
+    steps_by_queue = step_rows.groupBy("queue").agg(F.sort_array(F.collect_list(F.struct("before", "served", "share", "until"))).alias("steps"))
     placed = sizes.withColumn("hash", F.xxhash64("doc_id")).withColumn("bucket", F.pmod(F.shiftright("hash", 40), F.lit(groups)))
     queued = _prefix(placed, "bucket", ["hash", "doc_id", "row"], "n", "c", within=["queue"])
-    timed = queued.join(F.broadcast(steps_by_queue), "queue").withColumn("step", F.expr("element_at(filter(steps, s -> s.served <= c), -1)"))
-    # virtual time: the tokens of all queues that go before the document's turn
-    rounds = timed.withColumn("round", F.floor((F.col("step.before") + (F.col("c") - F.col("step.served")) / F.col("step.share")) / F.lit(window)).cast("long"))
+    cut = _cut(queued.join(F.broadcast(steps_by_queue), "queue"), window)
     width = max(1, -(-(sum(totals.values()) // window + 1) // groups))
-    rounds = rounds.withColumn("stretch", F.floor(F.col("round") / F.lit(width)).cast("long"))
-    return _prefix(rounds, "stretch", ["round", "queue", "c", "row"], "n", "position").select("row", "round", "position")
+    rounds = cut.withColumn("stretch", F.floor(F.col("round") / F.lit(width)).cast("long"))
+    return _prefix(rounds, "stretch", ["round", "queue", "at"], "length", "position").select("row", "start", "length", "round", "position")
 
 
 def _pieces(it):
@@ -121,13 +154,14 @@ def _pieces(it):
         columns = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names) if n != "ids"}
         out: list[tuple] = []
         for k, ids in enumerate(batch.column(batch.schema.get_field_index("ids"))):
-            own, at = np.frombuffer(ids.as_buffer(), "<u2").astype("<u4"), columns["position"][k]
-            start = 0
-            while start < len(own):
-                sequence, offset = divmod(at + start, SEQUENCE)
-                length = min(len(own) - start, SEQUENCE - offset)
-                out.append((columns["doc_id"][k], start, length, zlib.crc32(own[start : start + length].tobytes()), len(own), sequence, offset, columns["queue"][k][2:] or None, columns["round"][k]))
-                start += length
+            own = np.frombuffer(ids.as_buffer(), "<u2").astype("<u4")
+            for part in columns["parts"][k]:
+                start, end, at = part["start"], part["start"] + part["length"], part["position"]
+                while start < end:
+                    sequence, offset = divmod(at, SEQUENCE)
+                    length = min(end - start, SEQUENCE - offset)
+                    out.append((columns["doc_id"][k], start, length, zlib.crc32(own[start : start + length]), len(own), sequence, offset, columns["queue"][k][2:] or None, part["round"]))
+                    start, at = start + length, at + length
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), [pa.int64()] * 7 + [pa.string(), pa.int64()], strict=True)], names=PIECE_NAMES)
 
 
@@ -138,12 +172,13 @@ PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens
 def pack(docs: DataFrame, shares: dict[str, float] | None = None, source: str = "source") -> DataFrame:
     """One row for each piece of a document in a sequence of at most SEQUENCE tokens.
 
-    The ids are written once and only they travel again, to their places; the schedule moves a few numbers a
-    document.
+    The ids are written once and only they travel again, to their places; the schedule moves a few numbers for each
+    part of a document.
     """
     ids = tokenize(docs, source)
     places = materialize(schedule(ids.select("doc_id", "queue", "row", "n"), shares), "packing-places")
-    return ids.drop("n").join(places, "row").mapInArrow(_pieces, PIECE_SCHEMA)
+    parts = places.groupBy("row").agg(F.collect_list(F.struct("start", "length", "round", "position")).alias("parts"))  # so that ids aren't repeated
+    return ids.drop("n").join(parts, "row").mapInArrow(_pieces, PIECE_SCHEMA)
 
 
 def write_sequences(docs: DataFrame, path: str | None = None, shares: dict[str, float] | None = None) -> DataFrame:

@@ -127,3 +127,34 @@ def test_phases():
     assert plan == [(0, {"a": (0, Fraction(1, 2)), "b": (0, Fraction(1, 2))}), (100, {"a": (50, 1)})]
     assert packing.phases({}, None) == []
     assert len(packing.phases({"a": 3, "b": 5, "z": 9}, None)) == 1
+
+
+def windows_of(got):
+    """{sequence_id: {source: tokens}}"""
+    out: dict = {}
+    for r in got:
+        own = out.setdefault(r["sequence_id"], {})
+        own[r["source"]] = own.get(r["source"], 0) + r["length"]
+    return out
+
+
+def test_every_window_holds_the_target_proportions(spark, codec):
+    rnd = random.Random(4)
+    texts = ["word " * rnd.choice((3, 40, 700, 9000)) for _ in range(60)] + ["one"]
+    df = documents(spark, texts, {i: "rare" if i == 60 else f"src{i % 7}" for i in range(61)})
+    got = packing.pack(df).collect()
+    check_packing(codec, df, got)
+    windows = windows_of(got)
+    totals = {s: sum(w.get(s, 0) for w in windows.values()) for s in {r["source"] for r in got}}
+    whole = sum(totals.values())
+    for k, own in windows.items():
+        size = sum(own.values())
+        for s, total in totals.items():
+            assert abs(own.get(s, 0) - size * total / whole) <= len(totals) + 2, (k, s)
+    assert len(windows) > 10
+    # given shares hold in every window before a source runs dry, and all tokens are served once after it too
+    got = packing.pack(df, {"src0": 0.75, "src1": 0.25}).collect()
+    check_packing(codec, df, got)
+    dry = min(totals["src0"] / 0.75, totals["src1"] / 0.25) // packing.SEQUENCE
+    early = {k: w for k, w in windows_of(got).items() if k < dry}
+    assert early and all(abs(w["src0"] - 3072) <= 4 and abs(w["src1"] - 1024) <= 4 for w in early.values())
