@@ -31,7 +31,7 @@ END_ID = 2
 SEQUENCE = 4096
 #: Documents for each group of a prefix sum, and the most groups: the sums of the groups are one small table.
 GROUP_ROWS, MAX_GROUPS = 20_000, 8192
-#: Sources beyond this many share this many queues, dealt by a hash of their names.
+#: Plans of the queues are broadcast up to this many sources, and joined by shuffle beyond.
 MAX_QUEUES = 1024
 
 
@@ -130,20 +130,31 @@ def _cut(timed: DataFrame, window: int) -> DataFrame:
 
 def schedule(sizes: DataFrame, shares: dict[str, float] | None = None, window: int = SEQUENCE) -> DataFrame:
     """(row, start, length, round, position) of each part of the documents of sizes (doc_id, queue, row, n): its round and its place in the stream."""
-    stats = sizes.agg(F.count("*").alias("rows"), F.countDistinct("queue").alias("queues")).first()
-    groups = max(1, min(MAX_GROUPS, stats["rows"] // GROUP_ROWS))
-    if stats["queues"] > MAX_QUEUES:
-        sizes = sizes.withColumn("queue", F.pmod(F.xxhash64("queue"), F.lit(MAX_QUEUES)).cast("string"))
-    totals = {r["queue"]: r["total"] for r in sizes.groupBy("queue").agg(F.sum("n").alias("total")).collect()}  # at most MAX_QUEUES rows
-    plan = phases(totals, {f"s:{k}": v for k, v in shares.items()} if shares else None)
+    sums = sizes.groupBy("queue").agg(F.sum("n").alias("total"), F.count("*").alias("rows"))
+    named = {f"s:{k}": v for k, v in shares.items()} if shares else {}
+    # the plan needs the sums of the named queues and of all others together
+    of = F.when(F.col("queue").isin(list(named)), F.col("queue"))
+    stats = sums.groupBy(of.alias("queue")).agg(F.sum("total").alias("total"), F.sum("rows").alias("rows"), F.count("*").alias("queues")).collect()
+    totals = {r["queue"]: r["total"] for r in stats}
+    groups = max(1, min(MAX_GROUPS, sum(r["rows"] for r in stats) // GROUP_ROWS))
+    plan = phases(totals, named or None)
     spark = sizes.sparkSession
     steps = [(q, float(served), float(share), float(before), float(served + share * (plan[i + 1][0] - before)) if i + 1 < len(plan) else float(totals[q])) for i, (before, live) in enumerate(plan) for q, (served, share) in live.items()]
-    step_rows = spark.createDataFrame(steps, "queue string, served double, share double, before double, until double")
-    # a queue's phases as one array, at most MAX_QUEUES rows: the last phase that begins at or before c holds
-    steps_by_queue = step_rows.groupBy("queue").agg(F.sort_array(F.collect_list(F.struct("before", "served", "share", "until"))).alias("steps"))
+    step_rows = spark.createDataFrame(steps, "of string, served double, share double, before double, until double")
+    # a queue's phases as one array: the last phase that begins at or before c holds
+    array = F.sort_array(F.collect_list(F.struct("before", "served", "share", "until"))).alias("steps")
+    plans = step_rows.groupBy("of").agg(array)
+    # queues that no share names are served together, each in proportion to its tokens
+    part = F.when(of.isNull(), F.col("total") / F.lit(float(totals.get(None, 1)))).otherwise(F.lit(1.0))
+    own = F.transform("steps", lambda x: F.struct(x["before"].alias("before"), (x["served"] * part).alias("served"), (x["share"] * part).alias("share"), (x["until"] * part).alias("until")))
+    steps_by_queue = sums.join(F.broadcast(plans), of.eqNullSafe(F.col("of"))).select("queue", own.alias("steps"))
     placed = sizes.withColumn("hash", F.xxhash64("doc_id")).withColumn("bucket", F.pmod(F.shiftright("hash", 40), F.lit(groups)))
     queued = _prefix(placed, "bucket", ["hash", "doc_id", "row"], "n", "c", within=["queue"])
-    cut = _cut(queued.join(F.broadcast(steps_by_queue), "queue"), window)
+    if sum(r["queues"] for r in stats) <= MAX_QUEUES:
+        timed = queued.join(F.broadcast(steps_by_queue), "queue")
+    else:  # by queue and bucket, as the prefix sums are dealt, so that a large queue isn't one task
+        timed = queued.join(placed.select("queue", "bucket").distinct().join(steps_by_queue, "queue"), ["queue", "bucket"])
+    cut = _cut(timed, window)
     width = max(1, -(-(sum(totals.values()) // window + 1) // groups))
     rounds = cut.withColumn("stretch", F.floor(F.col("round") / F.lit(width)).cast("long"))
     return _prefix(rounds, "stretch", ["round", "queue", "at"], "length", "position").select("row", "start", "length", "round", "position")

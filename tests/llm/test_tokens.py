@@ -158,3 +158,18 @@ def test_every_window_holds_the_target_proportions(spark, codec):
     dry = min(totals["src0"] / 0.75, totals["src1"] / 0.25) // packing.SEQUENCE
     early = {k: w for k, w in windows_of(got).items() if k < dry}
     assert early and all(abs(w["src0"] - 3072) <= 4 and abs(w["src1"] - 1024) <= 4 for w in early.values())
+
+
+def test_many_sources_keep_their_own_queues(spark, codec, monkeypatch):
+    df = documents(spark, ["word " * (100 + 120 * (i % 9)) for i in range(180)], {i: f"host{i % 12}" for i in range(180)})
+    few = [sorted(map(tuple, packing.pack(df, s).collect())) for s in (None, {"host3": 0.75, "host5": 0.25})]
+    monkeypatch.setattr(packing, "MAX_QUEUES", 4)
+    got = packing.pack(df).collect()
+    check_packing(codec, df, got)
+    assert {r["source"] for r in got} == {f"host{k}" for k in range(12)}
+    assert sorted(map(tuple, got)) == few[0]
+    got = packing.pack(df, {"host3": 0.75, "host5": 0.25}).collect()
+    check_packing(codec, df, got)
+    first = windows_of(got)[0]
+    assert set(first) == {"host3", "host5"} and abs(first["host3"] - 3072) <= 4
+    assert sorted(map(tuple, got)) == few[1]
