@@ -6,8 +6,9 @@ is selected; a passage that repeats and is as long as a window thus always share
 Fingerprints that stand at one position only are dropped by a count, before anything else moves. Windows at the
 positions that are left are compared by content (two 64-bit hashes over all their lines), each group keeping its
 first place in the order of (doc_id, line); windows after the first are repeats. Overlapping and adjacent repeats of
-a document merge into maximal runs: that is the extension of a match both ways, line by line, as every further equal
-line lies in a repeated window of its own. The lines of these runs are deleted, and blank lines between them.
+a document merge into runs. A match is not extended beyond its windows: equal lines next to it that fill no repeated
+window of their own stay (of a shared passage of lines with 87, 7 and 12 words, only the first goes). The lines of
+these runs are deleted, and blank lines between them.
 
 A line goes only if an equal line stands earlier, so the first of equal lines always stays.
 
@@ -59,7 +60,7 @@ def windows(docs: DataFrame) -> DataFrame:
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, runs): the maximal runs of repeated lines, as arrays of (first, last) line numbers from 0."""
+    """(doc_id, text_hash, runs): the merged runs of repeated windows, as arrays of (first, last) line numbers from 0."""
     found = materialize(windows(docs), "line-windows")
     # positions of the selected minima; a fingerprint at a single position has no copy
     shared = found.select("fingerprint", "doc_id", "text_hash", "place").distinct().groupBy("fingerprint").agg(F.count("*").alias("n")).filter("n > 1").select("fingerprint")
