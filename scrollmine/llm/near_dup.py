@@ -4,7 +4,10 @@ A text's set holds its distinct five-word shingles as 64-bit hashes (A-Z in lowe
 from the start, so exact copies cost nothing further. A node has SAMPLES MinHash values: BANDS bands of ROWS values
 are its bucket keys, and all of them fold into an odd sketch, a bitmap in which every (place, value) flips one bit.
 The bits in which two sketches differ estimate the similarity of their sets precisely where it is high; only pairs
-whose estimate reaches ESTIMATE (over five standard deviations below the threshold) are confirmed on their full sets.
+whose estimate reaches ESTIMATE (over five standard deviations below the threshold) go on. A second odd sketch folds
+the set itself, or of a set over MARKED shingles those whose smallest bits are zero, as many bits as bring it below
+MARKED (its level). Its differing bits never outnumber the shingles in which two sets differ, so for sets up to MARKED
+it rejects without a loss, and near the threshold almost everything below it: only what is left is confirmed on full sets.
 
 No bucket emits all its pairs. In a first round every node of a bucket is paired with the bucket's first node (the
 hub), linked pairs become components, and then only nodes outside the component of their bucket's hub ("outsiders")
@@ -12,7 +15,8 @@ are compared within the bucket, the sketch being a condition of that join; bucke
 hubs before that. So every candidate pair is either tested or lies in one component already: nothing is capped.
 
 A pair with similarity 0.75 shares no bucket with probability (1 - 0.75**4)**32 = 5.2e-6, and its sketches differ in
-more than MOST_DIFFERING bits with probability 2.2e-7: together it is missed with probability 5.4e-6 at most.
+more than MOST_DIFFERING bits with probability 2.2e-7: together it is missed with probability 5.4e-6 at most. Sets over
+MARKED shingles add less than 2e-7, the chance that a sample has six standard deviations more than it is expected to.
 
 Defined cases: texts without words (or null) have an empty set, no links, and are their own component; repeated rows
 are equal sets; a null doc_id takes the smallest doc_id of its component (null if there is none) and is kept only if
@@ -26,7 +30,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import base_columns, batches, materialize, release, texts_of
@@ -36,10 +40,14 @@ BANDS, ROWS = 32, 4
 SAMPLES = BANDS * ROWS
 SKETCH_BITS = 512
 ESTIMATE = 0.5
+#: The second sketch: its bits, the most shingles that it folds, and the standard deviations left to samples.
+MARK_BITS, MARKED, DEVIATIONS = 1024, 512, 6
 #: Buckets with more outsiders than this take another hub; after HUB_ROUNDS hubs the join compares what is left.
 OUTSIDERS, HUB_ROUNDS = 512, 6
 #: Ids of candidates are broadcast to the scan of the texts up to this many, and joined by shuffle beyond.
 BROADCAST_IDS = 500_000
+#: Hashes of words that a Python worker remembers, some 20 MB.
+MAX_WORDS = 100_000
 
 _rng = np.random.default_rng(20)
 _MULTIPLY = _rng.integers(0, 2**64, (SAMPLES, 1), np.uint64) | np.uint64(1)
@@ -58,7 +66,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 500_000:
+        if len(self) < MAX_WORDS:
             self[word] = value
         return value
 
@@ -95,6 +103,21 @@ def odd_sketch(values: np.ndarray) -> np.ndarray:
     return np.packbits(parity.astype(np.uint8)).view("<i8")
 
 
+def level_of(size: int) -> int:
+    """How often the shingles of a set of that size are halved until MARKED are expected at most."""
+    return max(0, (size - 1) // MARKED).bit_length()
+
+
+def marks(shingles: np.ndarray) -> np.ndarray:
+    """Odd sketches of the set at its level and at the next one, for a partner whose level is higher by one."""
+    out = []
+    for level in (level_of(len(shingles)), level_of(len(shingles)) + 1):
+        own = shingles[(shingles & np.uint64((1 << level) - 1)) == 0] >> np.uint64(level)
+        parity = np.bincount((_mix(own) % np.uint64(MARK_BITS)).astype(np.int64), minlength=MARK_BITS) & 1
+        out.append(np.packbits(parity.astype(np.uint8)).view("<i8"))
+    return np.concatenate(out)
+
+
 def band_keys(values: np.ndarray) -> np.ndarray:
     parts = _mix(values).reshape(BANDS, ROWS) * _POSITION[:ROWS]
     return _mix(parts.sum(axis=1, dtype=np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64) * _PLACE[:BANDS]).view(np.int64)
@@ -108,7 +131,7 @@ def estimate(differing: int, samples: int = SAMPLES, bits: int = SKETCH_BITS) ->
 #: The most differing bits of a pair whose estimate reaches ESTIMATE.
 MOST_DIFFERING = max(m for m in range(SKETCH_BITS // 2) if estimate(m) >= ESTIMATE)
 
-_SIGNED = "doc_id long, row long, n_shingles long, set_key string, bands array<long>, sketch array<long>"
+_SIGNED = "doc_id long, row long, n_shingles long, set_key string, bands array<long>, sketch array<long>, level int, marks array<long>"
 
 
 def _sign(it):
@@ -117,17 +140,15 @@ def _sign(it):
         for text in texts_of(batch):
             s = shingle_set(text)
             if not len(s):
-                out.append((0, None, None, None))
+                out.append((0, None, None, None, None, None))
                 continue
             values = minhash(s)
-            out.append((len(s), xxhash.xxh3_128_hexdigest(s.tobytes()), band_keys(values), odd_sketch(values)))
+            out.append((len(s), xxhash.xxh3_128_hexdigest(s.tobytes()), band_keys(values), odd_sketch(values), level_of(len(s)), marks(s)))
         column = lambda name: batch.column(batch.schema.get_field_index(name))  # noqa: B023, E731
-        n, keys, bands, sketches = zip(*out, strict=True)
         longs = pa.list_(pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [column("doc_id"), column("row"), pa.array(n, pa.int64()), pa.array(keys, pa.string()), pa.array(bands, longs), pa.array(sketches, longs)],
-            names=["doc_id", "row", "n_shingles", "set_key", "bands", "sketch"],
-        )
+        own = [pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.string(), longs, longs, pa.int32(), longs), strict=True)]
+        yield pa.RecordBatch.from_arrays([column("doc_id"), column("row"), *own], names=[x.split()[0] for x in _SIGNED.split(", ")])
+    _words.clear()  # so that a worker that is used again doesn't hold it beside the next task's memory
 
 
 def signatures(docs: DataFrame) -> DataFrame:
@@ -149,6 +170,7 @@ def _confirm(it):
             b.append(y)
             keep.append(100 * both >= PERCENT * (len(own) + len(cached[1]) - both))
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"]).filter(pa.array(keep))
+    _words.clear()
 
 
 def _own_sets(it):
@@ -194,31 +216,45 @@ def components(links: DataFrame, label: str = "near-components") -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(edges.select(F.col("v"), F.col("v")).distinct())
 
 
-def _differing(x: str, y: str) -> F.Column:
+def _differing(x: str, y: str, bits: int, from_x: Column | int = 0, from_y: Column | int = 0) -> Column:
     """Bits in which two sketch columns differ, word by word, so that the join's condition is compiled code."""
+    word = lambda name, at: F.get(name, at if isinstance(at, Column) else F.lit(at))
     total = F.lit(0)
-    for i in range(SKETCH_BITS // 64):
-        total = total + F.bit_count(F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))).cast("int")
+    for i in range(bits // 64):
+        total = total + F.bit_count(word(x, from_x + i).bitwiseXOR(word(y, from_y + i))).cast("int")
     return total
 
 
-def _alike(x: str, y: str) -> F.Column:
+def _alike(x: str, y: str) -> Column:
     """Sizes and sketches allow the threshold."""
-    size_x, size_y = F.col(f"{x}n_shingles"), F.col(f"{y}n_shingles")
-    return (100 * F.least(size_x, size_y) >= PERCENT * F.greatest(size_x, size_y)) & (_differing(f"{x}sketch", f"{y}sketch") <= MOST_DIFFERING)
+    size_x, size_y, level_x, level_y = F.col(f"{x}n_shingles"), F.col(f"{y}n_shingles"), F.col(f"{x}level"), F.col(f"{y}level")
+    sizes = 100 * F.least(size_x, size_y) >= PERCENT * F.greatest(size_x, size_y)  # so levels differ by one at most
+    # sets at the threshold differ in (size_x + size_y) * (1 - s) / (1 + s) shingles
+    level = F.greatest(level_x, level_y)
+    most = (size_x + size_y) * (100 - PERCENT) / F.lit(100.0 + PERCENT) / F.pow(F.lit(2.0), level)
+    allowed = most + F.when(level > 0, DEVIATIONS * F.sqrt(most)).otherwise(1e-6)
+    half = F.lit(MARK_BITS // 64)
+    marked = _differing(f"{x}marks", f"{y}marks", MARK_BITS, F.when(level_x < level_y, half).otherwise(0), F.when(level_y < level_x, half).otherwise(0))
+    return sizes & (_differing(f"{x}sketch", f"{y}sketch", SKETCH_BITS) <= MOST_DIFFERING) & (marked <= allowed)
+
+
+_TRAITS = ("n_shingles", "sketch", "level", "marks")
+
+
+def _with_traits(df: DataFrame, nodes: DataFrame, key: str, *more: str) -> DataFrame:
+    """df with what _alike() reads about the nodes of column `key`, under names that begin with it."""
+    return df.join(nodes.select(F.col("node").alias(key), *(F.col(c).alias(f"{key}_{c}") for c in (*_TRAITS, *more))), key)
 
 
 def find_links(nodes: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(links, components) between the nodes (node, doc_id, set_key, n_shingles, bands, sketch) of different sets."""
-    traits = nodes.select("node", "n_shingles", "sketch", "bands")
+    """(links, components) between the nodes (those of _SIGNED, row as node) of different sets."""
     banded = nodes.select("node", F.explode("bands").alias("bucket"))
     buckets = banded.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("hub")).filter("size > 1")
     members = materialize(banded.join(buckets, "bucket").select("bucket", "node", "hub", "size"), "near-members")
 
     def tested(pairs: DataFrame) -> DataFrame:
         """Sketches first, then full sets."""
-        left = pairs.join(traits.select(F.col("node").alias("a"), F.col("n_shingles").alias("a_n_shingles"), F.col("sketch").alias("a_sketch")), "a")
-        both = left.join(traits.select(F.col("node").alias("b"), F.col("n_shingles").alias("b_n_shingles"), F.col("sketch").alias("b_sketch")), "b")
+        both = _with_traits(_with_traits(pairs, nodes, "a"), nodes, "b")
         likely = materialize(both.filter(_alike("a_", "b_")).select("a", "b"), "near-pairs")
         links = confirm(likely, nodes, docs)
         release(likely)
@@ -244,9 +280,8 @@ def find_links(nodes: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]
         open_ = materialize(_unsettled(open_, comps), "near-open")
     outsiders = open_.filter("node_comp <> hub_comp").select("bucket", F.col("node").alias("a"), F.col("node_comp").alias("a_comp"))
     others = open_.select("bucket", F.col("node").alias("b"), F.col("node_comp").alias("b_comp"))
-    with_traits = lambda df, k: df.join(traits.select(F.col("node").alias(k), F.col("n_shingles").alias(f"{k}_n_shingles"), F.col("sketch").alias(f"{k}_sketch"), F.col("bands").alias(f"{k}_bands")), k)
     # a pair that shares several buckets is made in the first of them alone
-    left, right = with_traits(outsiders, "a"), with_traits(others, "b")
+    left, right = _with_traits(outsiders, nodes, "a", "bands"), _with_traits(others, nodes, "b", "bands")
     shared = F.filter("a_bands", lambda x, i: x == F.get("b_bands", i))
     once = F.get(shared, F.lit(0)) == left["bucket"]
     cross = left.join(right, (left["bucket"] == right["bucket"]) & (F.col("a_comp") != F.col("b_comp")) & _alike("a_", "b_") & once)
@@ -272,7 +307,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     signed = signatures(docs)
     sets = materialize(signed.filter("set_key is not null").groupBy("set_key").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")).select("set_key", F.col("first.row").alias("node"), F.col("first.doc_id").alias("lowest")), "near-sets")
-    nodes = materialize(signed.join(sets.select(F.col("node").alias("row")), "row").select(F.col("row").alias("node"), "doc_id", "set_key", "n_shingles", "bands", "sketch"), "near-nodes")
+    nodes = materialize(signed.join(sets.select(F.col("node").alias("row")), "row").select(F.col("row").alias("node"), "doc_id", "set_key", "bands", *_TRAITS), "near-nodes")
     _, comps = find_links(nodes, docs)
     owned = sets.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     lowest = owned.groupBy("comp").agg(F.min("lowest").alias("component_id"))

@@ -133,3 +133,27 @@ def test_a_pair_at_the_threshold_with_unlike_sketches(spark):
     texts = [" ".join(words[:53]), " ".join(words[7:])]  # 42 of 56 shingles are shared; the sketches differ in 94 bits
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in N.near_duplicates(documents(spark, texts)).collect()}
     assert got == brute(texts) == {0: (49, 0), 1: (49, 0)}
+
+
+def test_marks_never_reject_small_sets_at_the_threshold():
+    rng = np.random.default_rng(5)
+    for n in (7, 140, 511, 513, 700, 3000):
+        for _ in range(30):
+            both = rng.integers(0, 2**63, max(3, int(n * 0.86)), np.uint64)  # 6 of 8 shingles are shared
+            a, b = (np.unique(np.concatenate([both, rng.integers(0, 2**63, len(both) // 6, np.uint64)])) for _ in range(2))
+            assert 100 * len(both) >= 75 * (len(a) + len(b) - len(both))
+            x, y, low, high = N.marks(a), N.marks(b), *sorted((N.level_of(len(a)), N.level_of(len(b))))
+            half = N.MARK_BITS // 64
+            x, y = (v[half:] if N.level_of(len(s)) < high else v[:half] for v, s in ((x, a), (y, b)))
+            differing = int(np.bitwise_count((x ^ y).view(np.uint64)).sum())
+            most = (len(a) + len(b)) / 7 / 2**high
+            assert differing <= (most + 6 * most**0.5 if high else most) and high - low <= 1
+
+
+def test_long_near_copies_across_levels(spark):
+    rnd = random.Random(9)
+    base = [f"v{rnd.randrange(10**7)}" for _ in range(1300)]
+    texts = [" ".join(base[: rnd.randrange(980, 1300)]) for _ in range(12)] + [" ".join(base[k : k + 540]) for k in range(0, 200, 18)]
+    texts += [varied(rnd, base[:600], 0.05) for _ in range(15)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in N.near_duplicates(documents(spark, texts)).collect()}
+    assert got == brute(texts)
