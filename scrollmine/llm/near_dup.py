@@ -20,7 +20,8 @@ MARKED shingles add less than 2e-7, the chance that a sample has six standard de
 
 Defined cases: texts without words (or null) have an empty set, no links, and are their own component; repeated rows
 are equal sets; a null doc_id takes the smallest doc_id of its component (null if there is none) and is kept only if
-that is null; an empty table gives no rows; other columns are ignored.
+that is null; an empty table gives no rows; other columns are ignored. The report names documents by doc_id alone;
+keep_one() tells rows apart, so of repeated rows one stays, whatever their ids are.
 """
 
 from __future__ import annotations
@@ -151,11 +152,6 @@ def _sign(it):
     _words.clear()  # so that a worker that is used again doesn't hold it beside the next task's memory
 
 
-def signatures(docs: DataFrame) -> DataFrame:
-    rows = base_columns(docs, "doc_id", "text").withColumn("row", F.monotonically_increasing_id())
-    return materialize(rows.mapInArrow(_sign, _SIGNED), "near-signed")
-
-
 def _confirm(it):
     cached: tuple[int, np.ndarray] | None = None
     for batch in batches(it):
@@ -303,21 +299,41 @@ def _unsettled(members: DataFrame, comps: DataFrame) -> DataFrame:
     return known.join(hubs.join(mixed, "bucket"), "bucket").select("bucket", "node", "hub", "node_comp", "hub_comp")
 
 
+def _classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(signed, classes) of rows (doc_id, text, row): classes (set_key, component_id, keeper) name each set's component.
+
+    The component's lowest doc_id (nulls last) is its id, and the first of the rows with that id its keeper.
+    """
+    signed = materialize(base_columns(rows, "doc_id", "text", "row").mapInArrow(_sign, _SIGNED), "near-signed")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first")
+    sets = materialize(signed.filter("set_key is not null").groupBy("set_key").agg(first), "near-sets")
+    own = signed.join(sets.select(F.col("first.row").alias("row")), "row")
+    nodes = materialize(own.select(F.col("row").alias("node"), "doc_id", "set_key", "bands", *_TRAITS), "near-nodes")
+    _, comps = find_links(nodes, rows)
+    owned = sets.withColumn("node", F.col("first.row")).join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    lowest = owned.groupBy("comp").agg(F.min("first").alias("lowest"))
+    named = owned.join(lowest, "comp").select("set_key", F.col("lowest.doc_id").alias("component_id"), F.col("lowest.row").alias("keeper"))
+    return signed, materialize(named, "near-classes")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
-    signed = signatures(docs)
-    sets = materialize(signed.filter("set_key is not null").groupBy("set_key").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")).select("set_key", F.col("first.row").alias("node"), F.col("first.doc_id").alias("lowest")), "near-sets")
-    nodes = materialize(signed.join(sets.select(F.col("node").alias("row")), "row").select(F.col("row").alias("node"), "doc_id", "set_key", "bands", *_TRAITS), "near-nodes")
-    _, comps = find_links(nodes, docs)
-    owned = sets.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    lowest = owned.groupBy("comp").agg(F.min("lowest").alias("component_id"))
-    classes = materialize(owned.join(lowest, "comp").select("set_key", "component_id"), "near-classes")
+    signed, classes = _classes(base_columns(docs, "doc_id", "text").withColumn("row", F.monotonically_increasing_id()))
     own = signed.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left")
     component = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return own.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without the documents that another of their component stands for, with all their columns."""
-    gone = near_duplicates(docs).filter("not kept").select("doc_id").distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
+    """One row of each component, its keeper, with all columns; rows without words stay.
+
+    Rows are told apart by a number that is written with them, so a doc_id may be null or stand on several rows; of
+    rows with equal sets one stays.
+    """
+    number = "row"
+    while number in {c.lower() for c in docs.columns}:
+        number += "_"
+    rows = materialize(docs.withColumn(number, F.monotonically_increasing_id()), "near-rows")
+    signed, classes = _classes(rows.select("doc_id", "text", F.col(number).alias("row")))
+    gone = signed.join(classes, "set_key").filter("row <> keeper").select(F.col("row").alias(number))
+    return rows.join(gone, number, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

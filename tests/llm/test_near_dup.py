@@ -157,3 +157,13 @@ def test_long_near_copies_across_levels(spark):
     texts += [varied(rnd, base[:600], 0.05) for _ in range(15)]
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in N.near_duplicates(documents(spark, texts)).collect()}
     assert got == brute(texts)
+
+
+def test_keep_one_tells_rows_apart(spark):
+    a, b, c = ("one two three four five six seven", "completely other words stand in this text", "a third text of its own that nothing repeats")
+    rows = [(1, a, "x", None, 0), (2, a, None, None, 0), (2, b, None, None, 0), (3, c, None, "s", 0), (3, c, None, "t", 0), (None, b, None, None, 0), (None, "no id but words here", None, None, 0), (4, "", None, None, 0), (4, "", None, None, 0), (None, None, None, None, 0)]
+    df = with_clashes(frame(spark, rows), "row", "Row_", "keeper")
+    got = N.keep_one(df)
+    assert got.columns == df.columns
+    assert sorted((r["doc_id"] or 0, r["text"] or "", r["lang"] or "") for r in got.collect()) == sorted([(1, a, "x"), (2, b, ""), (3, c, ""), (0, "no id but words here", ""), (4, "", ""), (4, "", ""), (0, "", "")])
+    assert N.keep_one(df.limit(0)).collect() == []
