@@ -101,7 +101,7 @@ class TokenCodec:
     max_cached words and pieces; what it has no room for is encoded again each time.
     """
 
-    def __init__(self, name: str = TOKENIZER, max_cached: int = 1_000_000):
+    def __init__(self, name: str = TOKENIZER, max_cached: int = 400_000):
         import public_tokenizers
         from tokenizers import Tokenizer
 
@@ -164,6 +164,17 @@ def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores at its end as make it clash with no column of df."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def base_columns(docs: DataFrame, *names: str) -> DataFrame:
     """The named columns alone, so extra columns (whatever their names) can't clash with an operator's own."""
     return docs.select(*(F.col(f"`{n}`") for n in names))

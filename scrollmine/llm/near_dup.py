@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import base_columns, batches, materialize, release, texts_of
+from .common import base_columns, batches, fresh, materialize, release, texts_of
 
 WIDTH, PERCENT = 5, 75
 BANDS, ROWS = 32, 4
@@ -330,9 +330,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Rows are told apart by a number that is written with them, so a doc_id may be null or stand on several rows; of
     rows with equal sets one stays.
     """
-    number = "row"
-    while number in {c.lower() for c in docs.columns}:
-        number += "_"
+    (number,) = fresh(docs, "row")
     rows = materialize(docs.withColumn(number, F.monotonically_increasing_id()), "near-rows")
     signed, classes = _classes(rows.select("doc_id", "text", F.col(number).alias("row")))
     gone = signed.join(classes, "set_key").filter("row <> keeper").select(F.col("row").alias(number))
