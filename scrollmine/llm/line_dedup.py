@@ -5,10 +5,14 @@ WINDOW_WORDS words, whichever comes first, so equal text makes equal windows. Of
 is selected; a passage that repeats and is as long as a window thus always shares a fingerprint with its copy.
 Fingerprints that stand at one position only are dropped by a count, before anything else moves. Windows at the
 positions that are left are compared by content (two 64-bit hashes over all their lines), each group keeping its
-first place in the order of (doc_id, line); windows after the first are repeats. Overlapping and adjacent repeats of
-a document merge into runs. A match is not extended beyond its windows: equal lines next to it that fill no repeated
-window of their own stay (of a shared passage of lines with 87, 7 and 12 words, only the first goes). The lines of
-these runs are deleted, and blank lines between them.
+first place in the order of (doc_id, line); windows after the first are repeats. A repeat is extended
+line by line while the lines next to it repeat together with it; overlapping and adjacent repeats of a document merge
+into runs. So what goes are the lines of every run of lines that holds a window and stands, as a whole, somewhere
+earlier, and blank lines between them.
+
+Extension takes two lines forward and none backward. Of a run that holds a window beginning at line k, the window that
+begins at k - 1 ends where that one does or before it, so it lies in the run and repeats, too; and each window that
+begins three or more lines before the run's end lies in it. What no window reaches are at most the last two lines.
 
 A line goes only if an equal line stands earlier, so the first of equal lines always stays.
 
@@ -22,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import base_columns, materialize
+from .common import base_columns, fresh, materialize
 
 WINDOW_LINES, WINDOW_WORDS = 3, 50
 _TRIM = "^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$"
@@ -34,7 +38,8 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def windows(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, first, last, fingerprint, place, w1, w2): a row for each window, without text."""
+    """A row for each window, without text: (doc_id, text_hash, first, last, fingerprint, place, w1, w2), and the hashes
+    a1, a2 and numbers e1, e2 of the two lines after it (0 and null where there are none)."""
     trimmed = lambda line: F.regexp_replace(line, _TRIM, "")
     lines = F.transform(F.split("text", "\n", -1), lambda line, i: F.struct(i.alias("i"), trimmed(line).alias("t")))
     df = _keyed(docs).withColumn("lines", F.filter(lines, lambda x: x["t"] != "")).drop("text")
@@ -52,6 +57,7 @@ def windows(docs: DataFrame) -> DataFrame:
             fits.alias("fits"), x["i"].alias("first"), at(k + more, "i").alias("last"), low.alias("fingerprint"),
             F.when(three & (h2 == low), k + 2).when(two & (h1 == low), k + 1).otherwise(k).alias("place"),
             F.xxhash64(x["h"], h1, h2, more).alias("w1"), F.xxhash64(x["g"], F.when(two, at(k + 1, "g")), F.when(three, at(k + 2, "g"))).alias("w2"),
+            *(f.alias(n) for d in (1, 2) for f, n in ((F.coalesce(at(k + more + d, "h"), F.lit(0)), f"a{d}"), (at(k + more + d, "i"), f"e{d}"))),
         )
 
     df = df.withColumn("w", F.filter(F.transform("l", window), lambda w: w["fits"])).drop("l")
@@ -67,9 +73,14 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     joined = found.join(shared, "fingerprint", "left_semi")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "first")
     content = ["fingerprint", "w1", "w2"]
-    firsts = joined.groupBy(*content).agg(F.min(order).alias("origin"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    later = joined.join(firsts, content).filter(order != F.col("origin"))
-    spans = later.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("spans"))
+    plain = joined.groupBy(*content).agg(F.min(order).alias("o0"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    matched = materialize(joined.join(plain, content), "line-matched")  # windows that repeat, their first places with them
+    # the first places with one and two more lines
+    both = matched.groupBy(*content, "a1", "a2").agg(F.min(order).alias("o2"))
+    firsts = both.join(both.groupBy(*content, "a1").agg(F.min("o2").alias("o1")), [*content, "a1"])
+    later = matched.join(firsts, [*content, "a1", "a2"]).filter(order != F.col("o0"))
+    end = F.when(F.col("e2").isNotNull() & (order != F.col("o2")), F.col("e2")).when(F.col("e1").isNotNull() & (order != F.col("o1")), F.col("e1")).otherwise(F.col("last"))
+    spans = later.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("first", end.alias("last")))).alias("spans"))
     last = lambda runs: F.element_at(runs, -1)
     grown = lambda runs, s: F.concat(F.slice(runs, 1, F.size(runs) - 1), F.array(F.struct(last(runs)["first"].alias("first"), F.greatest(last(runs)["last"], s["last"]).alias("last"))))
     merged = F.aggregate(
@@ -80,38 +91,41 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     return spans.select("doc_id", "text_hash", merged.alias("runs"))
 
 
-def _cleaned(docs: DataFrame) -> DataFrame:
-    """docs with __runs and __lines; texts travel once, to their documents' runs."""
-    runs = repeated_runs(docs).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("runs").alias("__runs"))
-    keyed = docs.withColumn("__hash_own", F.xxhash64("text"))
-    joined = keyed.join(runs, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__hash_own") == F.col("__hash")), "left")
-    return joined.withColumn("__lines", F.split("text", "\n", -1)).drop("__id", "__hash", "__hash_own")
+def _cleaned(docs: DataFrame) -> tuple[DataFrame, Column, Column]:
+    """(docs with two more columns, the runs and the lines, which the other two name); texts travel once."""
+    own_id, own_hash, hashed, runs, lines = fresh(docs, "run_id", "run_hash", "text_hash", "runs", "lines")
+    found = repeated_runs(docs).select(F.col("doc_id").alias(own_id), F.col("text_hash").alias(own_hash), F.col("runs").alias(runs))
+    keyed = docs.withColumn(hashed, F.xxhash64("text"))
+    joined = keyed.join(found, F.col("doc_id").eqNullSafe(F.col(own_id)) & (F.col(hashed) == F.col(own_hash)), "left")
+    return joined.withColumn(lines, F.split("text", "\n", -1)).drop(own_id, own_hash, hashed), F.col(runs), F.col(lines)
 
 
-def _kept_text() -> Column:
-    kept = F.filter("__lines", lambda line, i: ~F.exists("__runs", lambda r: i.between(r["first"], r["last"])))
-    return F.when(F.col("__runs").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+def _kept_text(runs: Column, lines: Column) -> Column:
+    kept = F.filter(lines, lambda line, i: ~F.exists(runs, lambda r: i.between(r["first"], r["last"])))
+    return F.when(runs.isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
 
 
-def _removed() -> Column:
-    return F.coalesce(F.aggregate("__runs", F.lit(0), lambda s, r: s + r["last"] - r["first"] + 1), F.lit(0)).cast("long")
+def _removed(runs: Column) -> Column:
+    return F.coalesce(F.aggregate(runs, F.lit(0), lambda s, r: s + r["last"] - r["first"] + 1), F.lit(0)).cast("long")
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs with repeated runs deleted from their texts; documents of which nothing with words is left are dropped."""
     names = docs.columns
-    df = _cleaned(docs).withColumn("text", _kept_text())
-    return df.filter(F.col("__runs").isNull() | F.col("text").rlike("[^\\x20\\x09-\\x0D]")).select(*(F.col(f"`{n}`") for n in names))
+    df, runs, lines = _cleaned(docs)
+    df = df.withColumn("text", _kept_text(runs, lines))
+    return df.filter(runs.isNull() | F.col("text").rlike("[^\\x20\\x09-\\x0D]")).select(*(F.col(f"`{n}`") for n in names))
 
 
 def report(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_lines, n_removed, removed (first-last line numbers, comma-joined), clean_sha256."""
-    df = _cleaned(base_columns(docs, "doc_id", "text"))
-    ranges = F.array_join(F.transform("__runs", lambda r: F.concat_ws("-", r["first"].cast("string"), r["last"].cast("string"))), ",")
-    return df.select("doc_id", F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size("__lines")).cast("long").alias("n_lines"), _removed().alias("n_removed"), F.coalesce(ranges, F.lit("")).alias("removed"), F.sha2(F.coalesce(_kept_text(), F.lit("")), 256).alias("clean_sha256"))
+    df, runs, lines = _cleaned(base_columns(docs, "doc_id", "text"))
+    ranges = F.array_join(F.transform(runs, lambda r: F.concat_ws("-", r["first"].cast("string"), r["last"].cast("string"))), ",")
+    return df.select("doc_id", F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long").alias("n_lines"), _removed(runs).alias("n_removed"), F.coalesce(ranges, F.lit("")).alias("removed"), F.sha2(F.coalesce(_kept_text(runs, lines), F.lit("")), 256).alias("clean_sha256"))
 
 
-#: The same rows in DuckDB SQL: windows by their trimmed lines, repeats by a window function.
+#: The same rows in DuckDB SQL: windows, alone and with one and two more lines, by their trimmed lines; repeats by a
+#: window function.
 ORACLE_SQL = f"""
 WITH docs AS (SELECT DISTINCT doc_id, text FROM documents),
 cut AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM docs),
@@ -120,13 +134,13 @@ worded AS (
          len(regexp_extract_all(line, '[^ \\t\\n\\v\\f\\r]+')) AS n
   FROM cut WHERE regexp_matches(line, '[^ \\t\\n\\v\\f\\r]')),
 nexts AS (
-  SELECT *, lead(t, 1) OVER w AS t1, lead(t, 2) OVER w AS t2, lead(n, 1) OVER w AS n1, lead(i, 1) OVER w AS i1, lead(i, 2) OVER w AS i2
+  SELECT *, lead(n, 1) OVER w AS n1, row_number() OVER w AS k
   FROM worded WINDOW w AS (PARTITION BY doc_id, text ORDER BY i)),
+sized AS (SELECT doc_id, text, i, k, CASE WHEN n >= {WINDOW_WORDS} THEN 0 WHEN n + coalesce(n1, 0) >= {WINDOW_WORDS} THEN 1 ELSE 2 END AS more FROM nexts),
 spans AS (
-  SELECT doc_id, text, i AS first,
-         CASE WHEN n >= {WINDOW_WORDS} THEN i WHEN n + coalesce(n1, 0) >= {WINDOW_WORDS} THEN i1 ELSE i2 END AS last,
-         CASE WHEN n >= {WINDOW_WORDS} THEN t WHEN n + coalesce(n1, 0) >= {WINDOW_WORDS} THEN t || chr(10) || t1 ELSE t || chr(10) || t1 || chr(10) || t2 END AS content
-  FROM nexts),
+  SELECT s.doc_id, s.text, s.i AS first, max(w.i) AS last, string_agg(w.t, chr(10) ORDER BY w.k) AS content
+  FROM sized s CROSS JOIN (VALUES (0), (1), (2)) x (extra) JOIN nexts w ON w.doc_id IS NOT DISTINCT FROM s.doc_id AND w.text = s.text AND w.k BETWEEN s.k AND s.k + s.more + x.extra
+  GROUP BY s.doc_id, s.text, s.i, s.more, x.extra HAVING count(*) = s.more + x.extra + 1),
 later AS (
   SELECT doc_id, text, first, last FROM (
     SELECT *, row_number() OVER (PARTITION BY content ORDER BY doc_id NULLS LAST, hash(text), first) AS k FROM spans WHERE last IS NOT NULL) WHERE k > 1),
