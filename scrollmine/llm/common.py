@@ -64,10 +64,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def tune(spark: SparkSession) -> None:
-    """Arrow batches of a thousand rows and 32 MB at most, as documents may be long; settings of the caller's own stay."""
+    """Arrow batches of a thousand rows and 32 MB at most, as documents may be long; settings of the caller's own stay.
+
+    Python workers do matrix products in their own thread: a task has one core, and more threads wait for each other.
+    """
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+    spark.sparkContext.environment.setdefault("OPENBLAS_NUM_THREADS", "1")
 
 
 def spread(df: DataFrame, rows_per_task: int = 4096) -> DataFrame:
