@@ -96,6 +96,11 @@ _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\[-
 _UNSAFE = re.compile("[^\\x09-\\x0D\\x20-\\x7EÀ-ÖØ-öø-ÿ]|<\\|")
 
 
+def plain(text: str) -> bool:
+    """Whether the ids of a text are those of its words, one after the other."""
+    return not _UNSAFE.search(text)
+
+
 class TokenCodec:
     """Token ids of whole texts by the tokenizers library, with a bounded per-process cache.
 
@@ -134,7 +139,7 @@ class TokenCodec:
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if _UNSAFE.search(text):
+        if not plain(text):
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
             return struct.pack(f"<{len(ids)}I", *ids)
         return b"".join(map(self.words.__getitem__, text.lower().split()))
