@@ -1,9 +1,9 @@
 """Personal data: pattern spans, and further spans chosen by boosted trees among overlapping candidates.
 
 The base finds e-mail addresses, IPv4 addresses, card numbers and international phone numbers by pattern and check
-digits. The method adds spans: high-recall generators (GENERATORS) propose spans that may overlap, features of their
+digits. The method adds spans: generators that miss little (GENERATORS) propose spans that may overlap, features of their
 format and context go to gradient-boosted trees, and calibrated probabilities above a kind's threshold select them;
-of overlapping ones the likeliest stays, and none may touch a base span.
+one that overlaps a likelier one goes, and none may touch a base span.
 
 Everything over the documents is built of DataFrame functions. Positions come from splitting a text at its matches:
 the gaps' and matches' lengths alternate, so their running sums are the spans. Patterns have no nested repetition
@@ -46,7 +46,15 @@ _GATES = {
     "iban": "[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}",
 }
 _MARK, _OTHER = "﷐", "﷑"
-CONTEXT = 40
+CONTEXT, AFTER = 40, 12
+#: The fewest and the most characters of a candidate of each generator: its pattern's bounds.
+_LENGTHS = {"email_spelled": (9, 214), "phone_local": (10, 16), "national_id": (11, 11), "iban": (16, 43)}
+SHORTEST, LONGEST = min(a for a, _ in _LENGTHS.values()), max(b for _, b in _LENGTHS.values())
+#: Candidates beside one, in order of their starts, among which all that overlap it stand: those of a generator don't
+#: overlap each other, so no more of them than this begin within LONGEST characters.
+NEAR = sum(LONGEST // a + 1 for a, _ in _LENGTHS.values())
+#: Base spans that are looked through together.
+CHUNK = 64
 TRAINING, ROUNDS, DEPTH, RATE = 1200, 40, 3, 0.3
 #: The least share of truth among held-out training spans at or above a kind's threshold.
 PRECISION = 0.97
@@ -75,16 +83,28 @@ def _running(df: DataFrame, lengths: str, name: str, block: int = 64) -> DataFra
     n = F.size(lengths)
     df = df.withColumn("__blocks", F.when(n > 0, F.transform(F.sequence(F.lit(0), F.floor((n - 1) / block).cast("int")), lambda b: total(F.slice(lengths, b * block + 1, block)))))
     df = df.withColumn("__blocks", F.aggregate("__blocks", F.array(F.lit(0)), lambda a, x: F.array_append(a, F.element_at(a, -1) + x)))
-    # columns of their own, so that no element computes them again
+    # a column of its own: read in two places, it isn't merged into the lambda, where each element would compute it again
     start = lambda i: F.get("__blocks", F.floor(i / block).cast("int")) + total(F.slice(lengths, F.floor(i / block).cast("int") * block + 1, i % block))
-    return df.withColumn(name, F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), start))).drop("__blocks")
+    return df.withColumn(name, F.when((n > 0) & (F.size("__blocks") > 0), F.transform(F.sequence(F.lit(0), n - 1), start))).drop("__blocks")
 
 
 _SPANS = "array<struct<start:int,end:int,found:string>>"
 
 
-def _spans(df: DataFrame, name: str, view: Column, pattern: str, gate: str) -> DataFrame:
-    """df with column `name`: the spans of the pattern's matches in view (same length as text), with their text."""
+def _around(i: Column) -> list[Column]:
+    """`before` and `after`: the CONTEXT and AFTER characters beside match i, put together of the matches and gaps beside
+    it, as finding a character by its number walks through a long text. Matches have SHORTEST characters or more."""
+    part = lambda name, k: F.coalesce(F.get(name, i + k), F.lit(""))
+    back, ahead = -(-CONTEXT // SHORTEST), -(-AFTER // SHORTEST)
+    gap = lambda k: F.right(part("__gaps", k), F.lit(CONTEXT))
+    before = F.concat(*(x for k in range(-back, 0) for x in (gap(k), part("__hits", k))), gap(0))
+    after = F.concat(*(x for k in range(1, ahead + 1) for x in (F.left(part("__gaps", k), F.lit(AFTER)), part("__hits", k))))
+    return [F.right(before, F.lit(CONTEXT)).alias("before"), F.left(after, F.lit(AFTER)).alias("after")]
+
+
+def _spans(df: DataFrame, name: str, view: Column, pattern: str, gate: str, context: bool = False) -> DataFrame:
+    """df with column `name`: the spans of the pattern's matches in view (same length as text), with their text and, on
+    demand, what stands beside them."""
     on = F.col("text").rlike(gate)
     df = df.withColumn("__view", F.when(on, view))
     df = df.withColumn("__hits", F.regexp_extract_all("__view", F.lit(pattern), F.lit(0)))
@@ -92,8 +112,9 @@ def _spans(df: DataFrame, name: str, view: Column, pattern: str, gate: str) -> D
     # lengths of gap and match by turns; a match begins after all that stands before it
     df = df.withColumn("__steps", F.when(F.size("__hits") > 0, F.zip_with(F.slice("__gaps", 1, F.size("__hits")), "__hits", lambda g, h: F.length(g) + F.length(h))))
     df = _running(df, "__steps", "__before")
-    span = lambda h, i: F.struct((F.get("__before", i) + F.get("__steps", i) - F.length(h)).alias("start"), (F.get("__before", i) + F.get("__steps", i)).alias("end"), h.alias("found"))
-    return df.withColumn(name, F.coalesce(F.when(F.col("__steps").isNotNull(), F.transform("__hits", span)), F.array().cast(_SPANS))).drop("__view", "__hits", "__gaps", "__steps", "__before")
+    span = lambda h, i: F.struct((F.get("__before", i) + F.get("__steps", i) - F.length(h)).alias("start"), (F.get("__before", i) + F.get("__steps", i)).alias("end"), h.alias("found"), *(_around(i) if context else []))
+    kind = _SPANS.replace("found:string", "found:string,before:string,after:string") if context else _SPANS
+    return df.withColumn(name, F.coalesce(F.when(F.col("__steps").isNotNull(), F.transform("__hits", span)), F.array().cast(kind))).drop("__view", "__hits", "__gaps", "__steps", "__before")
 
 
 def _digits(found: Column) -> Column:
@@ -123,11 +144,9 @@ def _valid(kind: str, found: Column) -> Column:
 FEATURES = ("generator", "length", "digits", "letters", "separators", "separator_kinds", "distinct", "luhn", "cue", "other_cue", "colon_before", "number_before", "unit_after", "brackets", "line_start", "upper")
 
 
-def _features(generator: int, text: Column, c: Column) -> Column:
+def _features(generator: int, c: Column) -> Column:
     """A candidate's features as an array of doubles, in the order of FEATURES."""
-    found, start = c["found"], c["start"]
-    before = F.lower(F.substring(text, F.greatest(start - CONTEXT + 1, F.lit(1)), F.least(start, F.lit(CONTEXT))))
-    after = F.lower(F.substring(text, c["end"] + 1, F.lit(12)))
+    found, before, after = c["found"], F.lower(c["before"]), F.lower(c["after"])
     cues = list(GENERATORS.values())
     own = cues[generator][1]
     others = "|".join(x for i, (_, x) in enumerate(cues) if i != generator) + "|order|invoice|ticket|version|isbn|serial|page|ref|date|article|sku"
@@ -146,10 +165,10 @@ def candidates(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, ...) with `proposed`: array of (kind, start, end, x) from all generators, overlaps and all."""
     df = docs
     for kind, (pattern, _) in GENERATORS.items():
-        df = _spans(df, f"__{kind}", F.col("text"), pattern, _GATES[kind])
+        df = _spans(df, f"__{kind}", F.col("text"), pattern, _GATES[kind], context=True)
 
     def part(i: int, kind: str) -> Column:
-        return F.transform(f"__{kind}", lambda c: F.struct(F.lit(kind).alias("kind"), c["start"].alias("start"), c["end"].alias("end"), _features(i, F.col("text"), c).alias("x")))
+        return F.transform(f"__{kind}", lambda c: F.struct(F.lit(kind).alias("kind"), c["start"].alias("start"), c["end"].alias("end"), _features(i, c).alias("x")))
 
     return df.withColumn("proposed", F.concat(*(part(i, kind) for i, kind in enumerate(GENERATORS)))).drop(*(f"__{kind}" for kind in GENERATORS))
 
@@ -305,11 +324,17 @@ def find_spans(docs: DataFrame, model: Boosted | None = None) -> DataFrame:
     scored = F.transform("proposed", lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind"), F.get(c["x"], F.lit(0)).cast("int").alias("g"), model.expression(c["x"]).alias("p")))
     df = df.withColumn("scored", F.when(F.size("proposed") > 0, scored)).drop("proposed")
     limit = F.array(*(F.lit(t) for t in model.thresholds))
-    likely = F.filter("scored", lambda c: (c["p"] >= F.get(limit, c["g"])) & ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    df = df.withColumn("likely", F.when(F.size("scored") > 0, F.sort_array(likely))).drop("scored")
-    # spans of the generators have bounded lengths, so those that overlap are near each other in this order
-    near = 48
-    stays = lambda c, i: ~F.exists(F.slice("likely", F.greatest(i + 1 - near, F.lit(1)), F.lit(2 * near + 1)), lambda o: (o["start"] < c["end"]) & (c["start"] < o["end"]) & ((o["p"] > c["p"]) | ((o["p"] == c["p"]) & ((o["start"] < c["start"]) | ((o["start"] == c["start"]) & (o["g"] < c["g"]))))))
+    # base spans in chunks of neighbours, so that a candidate looks through few of them in a text with many
+    df = df.withColumn("__sorted", F.sort_array(F.transform("base", lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end")))))
+    chunk = lambda k: F.slice("__sorted", k * CHUNK + 1, CHUNK)
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size("__sorted") - 1) / CHUNK).cast("int")), lambda k: F.struct(k.alias("k"), F.get("__sorted", k * CHUNK)["start"].alias("start"), F.array_max(F.transform(chunk(k), lambda b: b["end"])).alias("end")))
+    df = df.withColumn("__chunks", F.when(F.size("__sorted") > 0, chunks))
+    meets = lambda a, c: (a["start"] < c["end"]) & (c["start"] < a["end"])
+    free = lambda c: ~F.coalesce(F.exists("__chunks", lambda k: meets(k, c) & F.exists(chunk(k["k"]), lambda b: meets(b, c))), F.lit(False))
+    likely = F.filter("scored", lambda c: (c["p"] >= F.get(limit, c["g"])) & free(c))
+    df = df.withColumn("likely", F.when(F.size("scored") > 0, F.sort_array(likely))).drop("scored", "__sorted", "__chunks")
+    likelier = lambda o, c: (o["p"] > c["p"]) | ((o["p"] == c["p"]) & ((o["start"] < c["start"]) | ((o["start"] == c["start"]) & (o["g"] < c["g"]))))
+    stays = lambda c, i: ~F.exists(F.slice("likely", F.greatest(i + 1 - NEAR, F.lit(1)), F.lit(2 * NEAR + 1)), lambda o: meets(o, c) & likelier(o, c))
     added = F.transform(F.array_sort(F.filter("likely", stays), lambda a, b: F.when(a["g"] != b["g"], a["g"] - b["g"]).otherwise(a["start"] - b["start"])), lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
     empty = F.array().cast("array<struct<kind:string,start:int,end:int>>")
     return df.withColumn("added", F.coalesce(F.when(F.size("likely") > 0, added), empty)).select("doc_id", "text", "base", "added")

@@ -4,6 +4,8 @@ import re
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from scrollmine.llm import pii as P
 
 from .helpers import documents, sf, with_clashes
@@ -113,3 +115,31 @@ def test_every_match_of_a_generator_passes_its_gate(spark):
         assert matched.filter(~df["text"].rlike(P._GATES[kind])).select("text").take(5) == [], kind
     proposed = {r["doc_id"]: [c["kind"] for c in r["proposed"]] for r in P.candidates(df.filter("doc_id < 4")).collect()}
     assert proposed == {i: ["email_spelled"] for i in range(4)}
+
+
+def test_many_matches_in_one_text(spark):
+    n = 20_000
+    text = " ".join(f"u{i}@x.org, 10.1.{i % 200}.7, my ssn is 123-45-{6789 + i % 100} ok" for i in range(n))
+    r = P.digests(P.find_spans(documents(spark, [text]))).collect()[0]
+    assert (r["n_email"], r["n_ip"], r["n_added"]) == (n, n, n)
+    spans = [s.split(":") for s in r["spans"].split(",")]
+    assert [text[int(a) : int(b)] for k, a, b in spans if k == "email"] == [f"u{i}@x.org" for i in range(n)]
+    assert all(text[int(a) : int(b)].startswith("123-45-") for k, a, b in spans if k == "national_id")
+
+
+def test_context_is_that_of_the_text(spark):
+    texts = ["call 555-123-4567 555-123-4568 555.123.4569 ok 555-123-4570", "tel 555-123-4567", "a" * 100 + " ssn 123-45-6789" + "b" * 50, " 123-45-6789 123-45-6780 123-45-6781 123-45-6782 123-45-6783 123-45-6784 123-45-6785"]
+    df = P._spans(documents(spark, texts), "s", F.col("text"), P.GENERATORS["phone_local"][0], P._GATES["phone_local"], context=True)
+    df = P._spans(df, "n", F.col("text"), P.GENERATORS["national_id"][0], P._GATES["national_id"], context=True)
+    seen = 0
+    for r in df.collect():
+        for c in [*r["s"], *r["n"]]:
+            seen += 1
+            assert (c["before"], c["after"]) == (r["text"][max(0, c["start"] - P.CONTEXT) : c["start"]], r["text"][c["end"] : c["end"] + P.AFTER])
+    assert seen >= 12
+
+
+def test_lengths_bound_the_candidates(spark):
+    texts = [t for t, *_ in P.training_texts(300)] + ["x" * 64 + " (at) " + "y" * 63 + " (dot) " + "z" * 20 + " (dot) " + "z" * 20 + " (dot) " + "z" * 20, "ab at cd.ef", "GB12" + " ABCD" * 7 + " ABC"]
+    found = {(c["kind"], c["end"] - c["start"]) for r in P.candidates(documents(spark, texts)).select("proposed").collect() for c in r["proposed"]}
+    assert all(P._LENGTHS[k][0] <= n <= P._LENGTHS[k][1] for k, n in found) and ("email_spelled", 214) in found
