@@ -167,27 +167,26 @@ def find_secrets(docs: DataFrame, model: MarkovPair | None = None) -> DataFrame:
     return base_columns(docs, "doc_id", "text").mapInArrow(scan, SCHEMA)
 
 
-def redact(docs: DataFrame, found: DataFrame, mark: str = "[secret]") -> DataFrame:
-    """docs with the spans of `found` (doc_id, spans) replaced in their texts; overlapping spans are merged.
+def redact(docs: DataFrame, model: MarkovPair | None = None, mark: str = "[secret]") -> DataFrame:
+    """docs with the spans of their texts replaced, in the pass that finds them; overlapping spans become one mark.
 
-    Meant for tables with one row per doc_id.
+    Each row stands for itself, so ids may be null or repeat; all other columns, whatever their names, stay.
     """
+    held = docs.sparkSession.sparkContext.broadcast(model or fit(sample_words(docs)))
 
     def replace(it):
+        own = held.value
         for batch in batches(it):
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            lists = batch.column(batch.schema.get_field_index("__spans")).to_pylist()
+            place = batch.schema.get_field_index("text")
             out = []
-            for text, spans in zip(texts, lists, strict=True):
-                if text and spans:
-                    parts, at = [], 0
-                    for a, b in sorted(tuple(map(int, s.split(":")[1:])) for s in spans.split(",")):
-                        if a >= at:
-                            parts += [text[at:a], mark]
-                        at = max(at, b)
-                    text = "".join(parts) + text[at:]
-                out.append(text)
-            yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(out, pa.string())).drop_columns(["__spans"])
-
-    spans = found.select("doc_id", F.col("spans").alias("__spans"))
-    return docs.join(spans, "doc_id", "left").select(*docs.columns, "__spans").mapInArrow(replace, docs.schema)
+            for text in batch.column(place).to_pylist():
+                base, added = spans_of(text or "", own)
+                parts, at = [], 0
+                for a, b, _ in sorted(base + added):
+                    if a >= at:
+                        parts += [text[at:a], mark]
+                    at = max(at, b)
+                out.append("".join(parts) + text[at:] if parts else text)
+            yield batch.set_column(place, "text", pa.array(out, pa.string()))
+
+    return docs.mapInArrow(replace, docs.schema)
