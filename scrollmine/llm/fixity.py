@@ -3,7 +3,9 @@
 `write_warc` stores pages as WARC 1.1 files, one archive a file, of about ARCHIVE_BYTES each; `read_warc` parses such
 files by Content-Length into records with offsets and hashes, and goes on at the next record's mark after damage.
 `merkle_levels` hashes FANOUT records that follow each other into a node over their offset range, FANOUT such nodes
-into the next, up to a root for each archive; every level is one grouped aggregation with groups of FANOUT rows.
+into the next, up to a root for each archive; every level is one grouped aggregation with groups of FANOUT rows. A
+node's hash covers the extents of its children's ranges in their order, not their beginnings, so a record that grew
+changes the nodes above it and none beside them. A lost record renumbers those after it in its archive.
 `audit` joins two replicas' roots, then from level to level only the children of nodes that differ, and at last the
 records below them, so an intact archive costs one comparison.
 
@@ -109,9 +111,9 @@ def merkle_levels(records: DataFrame) -> list[DataFrame]:
     while True:
         level = levels[-1]
         grouped = level.groupBy("archive", F.floor(F.col("node") / FANOUT).alias("node")).agg(
-            F.min("start").alias("start"), F.max("end").alias("end"), F.sort_array(F.collect_list(F.struct("node", "hash"))).alias("children")
+            F.min("start").alias("start"), F.max("end").alias("end"), F.sort_array(F.collect_list(F.struct("node", (F.col("end") - F.col("start")).alias("length"), "hash"))).alias("children")
         )
-        parent = grouped.select("archive", "node", "start", "end", F.sha2(F.array_join(F.transform("children", lambda c: c["hash"]), ""), 256).alias("hash"))
+        parent = grouped.select("archive", "node", "start", "end", F.sha2(F.array_join(F.transform("children", lambda c: F.concat_ws(":", c["length"].cast("string"), c["hash"])), ","), 256).alias("hash"))
         levels.append(materialize(parent, "merkle"))
         if not (levels[-1].agg(F.max("node")).first()[0] or 0):
             return levels
