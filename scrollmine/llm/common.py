@@ -19,9 +19,12 @@ WORD_RE = "[^\\x20\\x09-\\x0D]+"
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset and everything runs in one
+    process (tests), a local one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="scrollmine-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root

@@ -4,7 +4,7 @@ Items are short, documents may be long, so the similarity of their sets is tiny
 whole. The search therefore partitions documents by size: one with n shingles has its hashes dealt into 2**b bins by
 their leading bits, b from the size class of n, and keeps the smallest hash of each bin (one-permutation MinHash).
 Bins are so many for a class that a shared shingle is its bin's minimum with the probability that the smallest item
-needs (MISS below); a longer document has a longer sketch, and the search's recall is the same in every partition.
+needs (MISS below); a longer document has a longer sketch, and the search misses as little in every partition.
 The sketches are joined with the items' shingle hashes; the matches of a pair estimate its containment, and pairs
 with enough of them are verified on their exact shingles (words, not hashes): a document is contaminated by an item
 if it has at least 75 percent of the item's distinct shingles.
@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import base_columns, materialize
+from .common import base_columns, fresh, materialize
 
 WIDTH, PERCENT = 5, 75
 #: Chance, at most, that the sketch keeps none of the shingles that an item at the threshold shares.
@@ -105,8 +105,9 @@ def report(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs that contain no item, with all their columns."""
-    gone = _small(materialize(contaminated(docs, items).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct(), "decontam-gone"))
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__id"]) & (F.xxhash64(docs["text"]) == gone["__hash"]), "left_anti")
+    own, hashed = fresh(docs, "found_id", "found_hash")
+    gone = _small(materialize(contaminated(docs, items).select(F.col("doc_id").alias(own), F.col("text_hash").alias(hashed)).distinct(), "decontam-gone"))
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col(own)) & (F.xxhash64("text") == F.col(hashed)), "left_anti")
 
 
 #: The same pairs in DuckDB SQL, by joining all shingles.

@@ -64,3 +64,15 @@ def test_driver_table_stage_and_empty(spark, monkeypatch):
 
 def test_bins_follow_the_smallest_item():
     assert D.extra_bits(1) > D.extra_bits(10) >= D.extra_bits(100) >= 1
+
+
+def test_long_texts_and_clashing_columns(spark):
+    rnd = random.Random(6)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(5))
+    item = " ".join(word() for _ in range(30))
+    long = " ".join(word() for _ in range(60_000))
+    df = with_clashes(documents(spark, [long, long[:200_000] + " " + item + " " + long[200_000:], None]), "__id", "__hash", "found_id", "text_hash")
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert [(r["doc_id"], r["item_id"], r["shared"]) for r in D.report(df, items).collect()] == [(1, 1, 26)]
+    kept = D.drop_contaminated(df, items)
+    assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == [0, 2]
