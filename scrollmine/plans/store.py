@@ -272,18 +272,23 @@ class Store:
         """The best chunks by BM25; filters drop rows and leave the corpus's statistics alone."""
         scored = bm25.match_scores(query, self.postings(), self.lengths())
         if options is not None:
-            meta = self.chunks().join(self.files().select("file_id", "file_path"), "file_id").filter(options.condition()).select("chunk_id")
-            scored = scored.join(meta, "chunk_id", "left_semi")
+            scored = scored.join(self._fitting(options), "chunk_id", "left_semi")
         return self.results(bm25.top(scored, limit))
 
-    def search_vector(self, vector: list[float], limit: int) -> DataFrame:
+    def _fitting(self, options: SearchOptions) -> DataFrame:
+        """(chunk_id) of the chunks that pass the filters."""
+        return self.chunks().join(self.files().select("file_id", "file_path"), "file_id").filter(options.condition()).select("chunk_id")
+
+    def search_vector(self, vector: list[float], limit: int, options: SearchOptions | None = None) -> DataFrame:
         """(chunk_id, distance, rank)."""
-        return knn(self.embeddings(), vector, limit)
+        vectors = self.embeddings()
+        return knn(vectors if options is None else vectors.join(self._fitting(options), "chunk_id", "left_semi"), vector, limit)
 
     def search_hybrid(self, query: str, vector: list[float], limit: int, k: int = RRF_K, options: SearchOptions | None = None) -> DataFrame:
-        """Keyword and vector lists of OVERFETCH * limit each, fused; options apply only if given (they don't by default)."""
-        words = bm25.match_top(query, self.postings(), self.lengths(), limit * OVERFETCH)
-        near = self.search_vector(vector, limit * OVERFETCH)
-        fused = rrf([x.withColumn("query_id", F.lit(0)) for x in (words, near)], limit if options is None else 2 * limit * OVERFETCH, k)
-        found = self.results(fused)
-        return found if options is None else found.filter(options.condition()).limit(limit)
+        """Keyword and vector lists of OVERFETCH * limit each, fused; options apply only if given (they don't by default), to both lists."""
+        scored = bm25.match_scores(query, self.postings(), self.lengths())
+        if options is not None:
+            scored = scored.join(self._fitting(options), "chunk_id", "left_semi")
+        words = bm25.top(scored, limit * OVERFETCH)
+        near = self.search_vector(vector, limit * OVERFETCH, options)
+        return self.results(rrf([x.withColumn("query_id", F.lit(0)) for x in (words, near)], limit, k))

@@ -344,12 +344,17 @@ _UPSERT = "SELECT d.doc_id, md5(CASE WHEN l.toxic = 1 THEN upper(d.source) WHEN
 
 def _store(spark: SparkSession, label: str, dimensions: int = 64, buckets: int = 4):
     """A store in the folder that driver and executors share."""
+    import re
     import tempfile
     import uuid
 
     from scrollmine.plans.store import Store
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="scrollmine-")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="scrollmine-")  # everything runs in one process (tests)
     return Store(spark, f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}", dimensions, buckets)
 
 
@@ -486,3 +491,6 @@ def watch_index(spark, d):
 def entry(spark: SparkSession, d: str) -> DataFrame:
     """The flagship: hybrid search of all benchmark passages."""
     return hybrid_search(spark, d)
+
+
+from scrollmine import store_queries  # noqa: E402,F401  registers its own
