@@ -2,13 +2,15 @@
 
 Each line of a text has a vector of features (symbols, upper case, digits, repeats within the text, length, end mark,
 stock phrases). The field is trained here, in numpy, by the gradient of its conditional likelihood on the lines of a
-bounded sample of labelled documents (SAMPLE_DOCS of them, the first SAMPLE_CHARS characters of each); Viterbi
-decoding then labels the lines of every whole text, and a document is kept if the share of its words in content
-lines reaches the threshold, which is set on the sample's document labels so that good documents stay.
+bounded sample of labelled documents (SAMPLE_DOCS ids of them; of these the whole texts of up to SAMPLE_CHARS
+characters); Viterbi decoding then labels the lines of every whole text, and a document is kept if the share of its
+words in content lines reaches the threshold, which is set on the sample's document labels so that good documents stay.
 
-Line labels for training come from the documents' labels: in good documents a line is content unless a rule of
-FEATURES marks it strongly; in bad ones a line that such a rule marks is boilerplate and the others are left open
-(their marginals carry no gradient).
+No line is labelled by hand or by a rule: the documents' grades are the labels, and those of lines are latent. At first
+every line has its document's grade, and the field tells lines apart by themselves, as a chain would learn that documents
+are all of a kind. Then the field's own marginals open the lines that stand out in their document:
+lines of good ones that are surely boilerplate, and lines of bad ones that are likelier content, as long as lines with
+LEAST_BAD of the document's words stay boilerplate. Open lines carry no gradient of their own when it is trained again.
 
 Defined cases: a null or empty text has no words and fails the base rules; repeated rows repeat their result; an
 empty table gives no rows, an empty table of labels a field trained on generated lines; other columns are ignored.
@@ -23,7 +25,9 @@ from pyspark.sql import functions as F
 
 from .common import base_columns, batches, texts_of
 
-SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_LINES = 400, 20_000, 40
+SAMPLE_DOCS, SAMPLE_CHARS = 400, 20_000
+#: Turns of training, the marginal beyond which a good document's line is opened, the least share of bad words in a bad one.
+TURNS, SURE, LEAST_BAD = 2, 0.9, 0.5
 SYMBOLS = "#*$%&|<>"
 _SPACES = " \t\n\v\f\r"
 #: Phrases of page furniture, in lower case; one of them marks its line.
@@ -126,11 +130,6 @@ def line_features(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return out, counts
 
 
-def strongly_marked(x: np.ndarray) -> np.ndarray:
-    """Lines that a rule marks as boilerplate beyond doubt."""
-    return (x[:, 1] > 0.2) | ((x[:, 2] > 0.8) & (x[:, 7] > 0.25)) | (x[:, 4] > 0.5) | (x[:, 5] > 0.3) | (x[:, 9] > 0)
-
-
 class LineField:
     """A linear-chain conditional random field with two labels: 0 content, 1 boilerplate."""
 
@@ -139,8 +138,10 @@ class LineField:
         self.move = np.zeros((2, 2))
         self.threshold = 0.5
 
-    def fit(self, sequences: list[tuple[np.ndarray, np.ndarray]], rounds: int = 150, rate: float = 0.15, ridge: float = 0.0002) -> LineField:
-        """Ascend the conditional likelihood by Adam; sequences are (features, labels with -1 for open lines)."""
+    def fit(self, sequences: list[tuple[np.ndarray, np.ndarray]], rounds: int = 150, rate: float = 0.15, ridge: float = 0.0002, stiff: float = 0.01, chained: bool = True) -> LineField:
+        """Ascend the conditional likelihood by Adam; sequences are (features, labels with -1 for open lines). Unchained, lines are
+        told apart by themselves: the moves stay as they are. `stiff` holds moves back, as documents of one kind would make
+        the chain call a whole text what most of its lines are."""
         sequences = [s for s in sequences if len(s[0])]
         if not sequences:
             return self
@@ -153,8 +154,9 @@ class LineField:
         for step in range(1, rounds + 1):
             emit, move = theta[: self.emit.size].reshape(self.emit.shape), theta[self.emit.size :].reshape(2, 2)
             scores = feats @ emit
-            free, clamped = _marginals(scores, move, mask), _marginals(scores + allowed, move, mask)
-            gradient = np.concatenate([np.einsum("ktf,ktl->fl", feats, clamped[0] - free[0]).ravel(), (clamped[1] - free[1]).ravel()]) / mask.sum() - ridge * theta
+            marginals = _marginals if chained else _alone
+            free, clamped = marginals(scores, move, mask), marginals(scores + allowed, move, mask)
+            gradient = np.concatenate([np.einsum("ktf,ktl->fl", feats, clamped[0] - free[0]).ravel(), (clamped[1] - free[1]).ravel()]) / mask.sum() - np.repeat([ridge, stiff], [self.emit.size, 4]) * theta
             m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient**2
             theta = theta + rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         self.emit, self.move = theta[: self.emit.size].reshape(self.emit.shape), theta[self.emit.size :].reshape(2, 2)
@@ -205,6 +207,12 @@ def _marginals(scores: np.ndarray, move: np.ndarray, mask: np.ndarray) -> tuple[
     return label, pairs
 
 
+def _alone(scores: np.ndarray, move: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What _marginals() gives without moves, and none to learn from."""
+    p = np.exp(scores - scores.max(-1, keepdims=True))
+    return p / p.sum(-1, keepdims=True) * mask[..., None], np.zeros_like(move)
+
+
 def generated_lines(seed: int = 3, count: int = 120) -> list[tuple[str, int]]:
     """Texts with a document label (1 good), for tables without labels."""
     rng = np.random.default_rng(seed)
@@ -214,16 +222,27 @@ def generated_lines(seed: int = 3, count: int = 120) -> list[tuple[str, int]]:
     return [("\n".join(prose() for _ in range(6)), 1) if i % 2 else ("\n".join([prose(), *(junk[(i // 2) % 4]() for _ in range(5))]), 0) for i in range(count)]
 
 
+def _opened(field: LineField, x: np.ndarray, counts: np.ndarray, good: int) -> np.ndarray:
+    """The lines' labels by their document's grade, -1 for those that the field holds for the other kind."""
+    p = _marginals((x @ field.emit)[None], field.move, np.ones((1, len(x)), bool))[0][0][:, 1]
+    if good:
+        return np.where((counts > 0) & (p <= SURE), 0, -1)
+    order = np.argsort(-p, kind="stable")
+    needed = np.zeros(len(x), bool)
+    needed[order] = np.cumsum(counts[order]) - counts[order] < LEAST_BAD * counts.sum()
+    return np.where((counts > 0) & (needed | (p >= 0.5)), 1, -1)
+
+
 def fit(labelled: list[tuple[str, int]]) -> LineField:
     """Train the field and its threshold on (text, 1 good or 0 bad)."""
     labelled = labelled or generated_lines()
-    sequences = []
-    for text, good in labelled:
-        x, counts = line_features(text.split("\n")[:SAMPLE_LINES])
-        marked = strongly_marked(x)
-        sequences.append((x, np.where(marked, 1, 0 if good else -1)))
-    field = LineField().fit(sequences)
-    shares = [(field.content_share(text)[0], good) for text, good in labelled if text.strip()]
+    graded = [(*line_features(text.split("\n")), good) for text, good in labelled if text.strip(_SPACES)]
+    labels, field = [np.where(counts > 0, 0 if good else 1, -1) for _, counts, good in graded], LineField()
+    for turn in range(TURNS):
+        if turn:
+            labels = [_opened(field, *g) for g in graded]
+        field.fit([(x, y) for (x, _, _), y in zip(graded, labels, strict=True)], chained=turn > 0)
+    shares = [(field.content_share(text)[0], good) for text, good in labelled if text.strip(_SPACES)]
     good = np.array(sorted(s for s, g in shares if g) or [1.0])
     bad = np.array([s for s, g in shares if not g] or [0.0])
     # no more than one good document in 200 may go; within that, the best split of the labels
@@ -247,7 +266,7 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, documents: int = SAMPLE_
     ids = [r[0] for r in picked]
     if not ids:
         return []
-    texts = base_columns(docs, "doc_id", "text").filter(F.col("doc_id").isin(ids)).select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+    texts = base_columns(docs, "doc_id", "text").filter(F.col("doc_id").isin(ids) & (F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_CHARS))
     by_id = {r["doc_id"]: r["text"] or "" for r in texts.collect()}  # a row for each of at most SAMPLE_DOCS ids; repeats overwrite
     grades = {r["doc_id"]: r["quality"] for r in known.filter(F.col("doc_id").isin(ids)).collect()}
     return [(by_id[i], int(grades[i])) for i in sorted(by_id)]

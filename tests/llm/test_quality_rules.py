@@ -89,3 +89,21 @@ def test_sample_takes_both_grades_and_survives_repeats(spark):
     labels = frame(spark, [(0, 1, 0), (1, 0, 0), (1, 0, 0), (None, 1, 0), (2, None, 0), (3, 0, 0)], "doc_id long, quality int, toxic int")
     assert sorted(Q.sample_labelled(docs, labels)) == [("", 0), (JUNK, 0), (GOOD, 1)] or len(Q.sample_labelled(docs, labels)) == 3
     assert Q.sample_labelled(docs, labels.limit(0)) == []
+
+
+def test_lines_are_learned_from_grades(labelled):
+    """Marked lines of held-out bad documents, and none of good ones, though no line of the sample had a label."""
+    field = Q.fit(labelled[::2])
+    mixed = GOOD + "\n" + JUNK
+    labels = field.decode(Q.line_features(mixed.split("\n"))[0])
+    assert labels[:3].tolist() == [0, 0, 0] and labels[3:].all()
+    base = [not Q.base_failed(c[0], c[4]) for t, q in labelled[1::2] if q == 0 for c in [Q.base_counts(t)]]
+    kept = [Q._judge(t, field)[6] for t, q in labelled[1::2] if q == 0]
+    assert sum(kept) < 0.2 * sum(base)
+
+
+def test_long_texts_are_sampled_whole_or_not(spark, monkeypatch):
+    monkeypatch.setattr(Q, "SAMPLE_CHARS", 500)
+    docs = documents(spark, [GOOD, JUNK, "long text " * 100])
+    labels = frame(spark, [(0, 1, 0), (1, 0, 0), (2, 1, 0)], "doc_id long, quality int, toxic int")
+    assert Q.sample_labelled(docs, labels) == [(GOOD, 1)] + ([(JUNK, 0)] if len(JUNK) <= 500 else [])
