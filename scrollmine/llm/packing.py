@@ -171,7 +171,7 @@ def _pieces(it):
                 while start < end:
                     sequence, offset = divmod(at, SEQUENCE)
                     length = min(end - start, SEQUENCE - offset)
-                    out.append((columns["doc_id"][k], start, length, zlib.crc32(own[start : start + length]), len(own), sequence, offset, columns["queue"][k][2:] or None, part["round"]))
+                    out.append((columns["doc_id"][k], start, length, zlib.crc32(own[start : start + length]), len(own), sequence, offset, columns["queue"][k][2:] if columns["queue"][k] else None, part["round"]))
                     start, at = start + length, at + length
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), [pa.int64()] * 7 + [pa.string(), pa.int64()], strict=True)], names=PIECE_NAMES)
 
