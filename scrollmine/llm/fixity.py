@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from .common import batches, materialize, scratch_path
 
 ARCHIVE_BYTES, FANOUT = 8 << 20, 16
+#: Archives that a task writes, on average: tasks follow the data, whatever the session's number of partitions.
+TASK_ARCHIVES = 4
 _MARK = b"WARC/1.1\r\n"
 _LENGTH = re.compile(rb"\r\nContent-Length: ([0-9]+)\r\n")
 _ID = re.compile(rb"\r\nWARC-Record-ID: <urn:page:([^>\r\n]*)>\r\n")
@@ -57,7 +59,7 @@ def write_warc(pages: DataFrame, path: str, archives: int, key: str = "hash") ->
     """
     rows = pages if "record" in pages.columns else warc_records(pages)
     dealt = rows.withColumn("archive", F.pmod(F.xxhash64(key), F.lit(archives)))
-    ordered = dealt.repartition("archive").sortWithinPartitions("archive", F.col("page_id").asc_nulls_first(), "hash")
+    ordered = dealt.repartition(-(-archives // TASK_ARCHIVES), "archive").sortWithinPartitions("archive", F.col("page_id").asc_nulls_first(), "hash")
     ordered.select("archive", "record").write.partitionBy("archive").option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
 
 
