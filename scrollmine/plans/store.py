@@ -4,6 +4,9 @@ An update writes a new generation of the buckets it touches, in every table, and
 reader sees the state before or after, never between, and a failed update leaves the old one. Postings, lengths and
 vectors lie in their file's bucket, so an update rewrites them with their chunks and nothing else. Ids are hashes of
 path and chunk number; vectors carry a hash of the text they were made of, so a vector of an older text is no vector.
+
+Texts and postings are never shuffled to be written: each task writes its own file of each bucket, sorted, and postings
+are made batch by batch of the chunks as written. Only paths, ids and counts move.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ import time
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scrollmine import schema
@@ -22,15 +25,30 @@ from scrollmine.operators import bm25
 from scrollmine.operators.chunking import chunk_documents
 from scrollmine.operators.filters import SearchOptions
 from scrollmine.operators.fusion import OVERFETCH, RRF_K, rrf
-from scrollmine.operators.postings import build_postings, doc_lengths
+from scrollmine.operators.postings import chunk_postings
 from scrollmine.operators.vector import knn
 from scrollmine.sources import files as sources
 from scrollmine.sources.providers import EmbeddingProvider, embed_chunks
 
 TABLES = {"files": schema.FILES, "chunks": schema.CHUNKS, "postings": schema.POSTINGS, "lengths": schema.DOC_STATS, "embeddings": schema.EMBEDDINGS}
+#: Order of rows within a bucket's file: what searches filter by, or what lies near the same text.
+ORDER = {"files": ["file_id"], "chunks": ["file_id", "chunk_index"], "postings": ["term"], "lengths": ["chunk_id"], "embeddings": ["chunk_id"]}
+#: A postings file holds few distinct chunks and its terms in order, so that dictionaries make both small.
+PARQUET = {"compression": "zstd", "parquet.dictionary.page.size": str(4 << 20)}
+#: Up to so many keys (8 bytes or a short path each) are sent to all tasks; more are joined by a shuffle.
+FEW = 1_000_000
 EXCLUDE = ["**/Templates/**", "**/.obsidian/**", "**/attachments/**", "**/*.sync-conflict-*"]
 
 
+def hinted(keys: DataFrame) -> DataFrame:
+    """Keys for a join, sent to all tasks if there are few (they are counted), so that the rows on the other side stay where they are."""
+    return F.broadcast(keys) if keys.limit(FEW + 1).count() <= FEW else keys
+
+
+def _result() -> list[F.Column]:
+    return [F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.RESULT.fields]
+
+
 @dataclass
 class Stats:
     file_count: int
@@ -127,14 +145,14 @@ class Store:
     def _bucket(self, path: str = "file_path"):
         return F.pmod(F.xxhash64(path), F.lit(self.buckets)).cast("int")
 
-    def _write(self, tables: dict[str, DataFrame], buckets: list[int]) -> None:
-        """A new generation of the buckets in the given tables; buckets without rows are empty from now on."""
-        now = self.manifest()
-        version = now["version"] + 1
-        for table, rows in tables.items():
-            columns = [f.name for f in TABLES[table].fields]
-            order = ["bucket", "term"] if table == "postings" else ["bucket", columns[0]]
-            rows.select(*columns, "bucket").repartition("bucket").sortWithinPartitions(*order).write.partitionBy("bucket").parquet(f"{self.root}/{table}/gen={version}")
+    def _put(self, table: str, rows: DataFrame, version: int) -> None:
+        """Write a generation of a table; each task writes its rows of each bucket."""
+        columns = [f.name for f in TABLES[table].fields]
+        rows.select(*columns, "bucket").sortWithinPartitions("bucket", *ORDER[table]).write.options(**PARQUET).partitionBy("bucket").parquet(f"{self.root}/{table}/gen={version}")
+
+    def _name(self, now: dict, version: int, tables: list[str], buckets: list[int]) -> None:
+        """Commit what _put() wrote of the buckets; those without rows are empty from now on."""
+        for table in tables:
             base = self._path(f"{self.root}/{table}/gen={version}")
             written = {s.getPath().getName()[7:] for s in self._fs.listStatus(base) if s.getPath().getName().startswith("bucket=")}
             live = now["tables"][table]
@@ -150,66 +168,84 @@ class Store:
     def replace_files(self, contents: DataFrame, gone: DataFrame | None = None, indexed_at: int | None = None, everything: bool = False) -> DataFrame:
         """Put files (file_path, mtime, content, error) in place of what is stored of their paths, and drop the paths in `gone`.
 
-        Files with an error stay as they are stored; returns (file_path, error) of those.
+        Files with an error stay as they are stored; returns (file_path, error) of those. `contents` is computed more
+        than once and must give the same rows each time; a path that occurs again counts with its latest mtime.
         """
         indexed_at = int(time.time()) if indexed_at is None else indexed_at
         if "error" not in contents.columns:
             contents = contents.withColumn("error", F.lit(None).cast("string"))
-        contents = contents.persist()
-        good = contents.filter("error is null and content is not null").dropDuplicates(["file_path"]).withColumn("file_id", F.xxhash64("file_path"))
+        good = self._distinct(contents.filter("error is null and content is not null")).withColumn("file_id", F.xxhash64("file_path"))
         changed = good.select("file_path")
         if gone is not None:
             changed = changed.union(gone.select("file_path"))
-        changed = changed.distinct()
         buckets = list(range(self.buckets)) if everything else sorted(r[0] for r in changed.select(self._bucket().alias("b")).distinct().collect())  # at most `buckets` rows
-        if not buckets:
-            failed = self.spark.createDataFrame(contents.filter("error is not null").select("file_path", "error").collect(), "file_path string, error string")
+        if buckets:
+            self._replace(good, changed.select(F.xxhash64("file_path").alias("file_id")).distinct(), buckets, indexed_at, everything)
+        return self.spark.createDataFrame(contents.filter("error is not null").select("file_path", "error").collect(), "file_path string, error string")  # a row a failed file
+
+    def _distinct(self, files: DataFrame) -> DataFrame:
+        """One row a path, of the latest mtime; only paths move, and the rows of paths that occur again."""
+        again = files.groupBy("file_path").count().filter("count > 1").select("file_path")
+        if again.isEmpty():
+            return files
+        again = hinted(again)
+        latest = Window.partitionBy("file_path").orderBy(F.desc("mtime"), "content")
+        one = files.join(again, "file_path", "left_semi").withColumn("__n", F.row_number().over(latest)).filter("__n = 1").drop("__n")
+        return files.join(again, "file_path", "left_anti").unionByName(one)
+
+    def _replace(self, good: DataFrame, changed: DataFrame, buckets: list[int], indexed_at: int, everything: bool) -> None:
+        """A generation of the buckets: what is stored of files other than the changed ones (file_id), and the good files."""
+        now = self.manifest()
+        version = now["version"] + 1
+        old = {t: None if everything or not any(str(b) in now["tables"][t] for b in buckets) else self._read(t, buckets) for t in TABLES}
+        plus = lambda t, kept, new: new if kept is None else kept.unionByName(new.select(kept.columns))
+        kept = dict(old)
+        if old["files"] is not None:
+            changed = hinted(changed)
+            kept |= {t: old[t].join(changed, "file_id", "left_anti") for t in ("files", "chunks") if old[t] is not None}
+        if old["chunks"] is not None:
+            lost = hinted(old["chunks"].join(changed, "file_id", "left_semi").select("chunk_id"))
+            kept |= {t: old[t].join(lost, "chunk_id", "left_anti") for t in ("postings", "lengths", "embeddings") if old[t] is not None}
+        cut = chunk_documents(good.select("file_id", "file_path", "content")).withColumn("chunk_id", F.xxhash64("file_path", "chunk_index")).withColumn("bucket", self._bucket())
+        self._put("chunks", plus("chunks", kept["chunks"], cut), version)
+        schema_of = schema.T.StructType([*TABLES["chunks"].fields, schema.T.StructField("bucket", schema.T.IntegerType())])
+        new = self.spark.read.schema(schema_of).parquet(f"{self.root}/chunks/gen={version}")
+        if kept["chunks"] is not None:
+            new = new.join(changed, "file_id", "left_semi")
+        counts = new.groupBy("file_id").agg(F.count("*").alias("chunk_count"))
+        files = good.select("file_id", "file_path", "mtime").join(counts, "file_id", "left").select("*", F.lit(indexed_at).cast("long").alias("indexed_at"), self._bucket().alias("bucket"))
+        self._put("files", plus("files", kept["files"], files.withColumn("chunk_count", F.coalesce("chunk_count", F.lit(0)).cast("long"))), version)
+        self._put("postings", plus("postings", kept["postings"], chunk_postings(new)), version)
+        posted = self.spark.read.schema(TABLES["postings"]).parquet(f"{self.root}/postings/gen={version}").groupBy("chunk_id").agg(F.sum(F.size("positions")).alias("length"))
+        lengths = new.select("chunk_id", "bucket").join(posted, "chunk_id", "left").withColumn("length", F.coalesce("length", F.lit(0)))  # cheaper than cutting the texts again
+        self._put("lengths", plus("lengths", kept["lengths"], lengths), version)
+        self._put("embeddings", self._read("embeddings").limit(0) if kept["embeddings"] is None else kept["embeddings"], version)
+        self._name(now, version, list(TABLES), buckets)
+
+    def replace_read(self, roots: list[str], wanted: DataFrame, gone: DataFrame | None = None, everything: bool = False) -> DataFrame:
+        """replace_files() of files to be read; they are read once, as they may change meanwhile."""
+        contents = sources.read_files(self.spark, roots, wanted).persist()
+        try:
+            return self.replace_files(contents, gone, everything=everything)
+        finally:
             contents.unpersist()
-            return failed
-        new_chunks = chunk_documents(good.select("file_id", "file_path", "content")).withColumn("chunk_id", F.xxhash64("file_path", "chunk_index")).withColumn("bucket", self._bucket()).persist()
-        counts = new_chunks.groupBy("file_id").agg(F.count("*").alias("chunk_count"))
-        new_files = good.join(counts, "file_id", "left").select("file_id", "file_path", "mtime", F.lit(indexed_at).cast("long").alias("indexed_at"), F.coalesce("chunk_count", F.lit(0)).cast("long").alias("chunk_count"), self._bucket().alias("bucket"))
-        tables = {
-            "files": new_files,
-            "chunks": new_chunks,
-            "postings": build_postings(new_chunks).join(new_chunks.select("chunk_id", "bucket"), "chunk_id"),
-            "lengths": doc_lengths(new_chunks).join(new_chunks.select("chunk_id", "bucket"), "chunk_id"),
-        }
-        if not everything:
-            kept_files = self._read("files", buckets).join(changed, "file_path", "left_anti")
-            kept_ids = kept_files.select("file_id")
-            old_chunks = self._read("chunks", buckets).join(kept_ids, "file_id", "left_semi")
-            kept_chunks = old_chunks.select("chunk_id")
-            tables = {
-                "files": kept_files.unionByName(tables["files"].select(kept_files.columns)),
-                "chunks": old_chunks.unionByName(tables["chunks"].select(old_chunks.columns)),
-                **{t: (old := self._read(t, buckets).join(kept_chunks, "chunk_id", "left_semi")).unionByName(tables[t].select(old.columns)) for t in ("postings", "lengths")},
-                "embeddings": self._read("embeddings", buckets).join(kept_chunks, "chunk_id", "left_semi"),
-            }
-        else:
-            tables["embeddings"] = self._read("embeddings").limit(0)
-        self._write(tables, buckets)
-        failed = self.spark.createDataFrame(contents.filter("error is not null").select("file_path", "error").collect(), "file_path string, error string")  # a row a failed file
-        new_chunks.unpersist()
-        contents.unpersist()
-        return failed
 
     def index_full(self, roots: list[str], exclude: list[str] = EXCLUDE) -> DataFrame:
         """Index all files below all roots and forget everything else."""
         listing = sources.list_tree(self.spark, roots, exclude)
-        return self.replace_files(sources.read_files(self.spark, roots, listing), everything=True)
+        return self.replace_read(roots, listing, everything=True)
 
     def index_incremental(self, roots: list[str], exclude: list[str] = EXCLUDE, prune: bool = False) -> DataFrame:
         """Index new and newer files; with prune, forget files that are gone."""
         listing = sources.list_tree(self.spark, roots, exclude)
         stored = self.files()
         changed = sources.changed_files(listing, stored)
-        return self.replace_files(sources.read_files(self.spark, roots, changed), sources.gone_files(listing, stored) if prune else None)
+        return self.replace_read(roots, changed, sources.gone_files(listing, stored) if prune else None)
 
     def index_file(self, path: str) -> DataFrame:
         """Index one file, whatever its name and time."""
         row = sources.one_file(self.spark, path)
-        return self.replace_files(sources.read_files(self.spark, [path], row))
+        return self.replace_read([path], row)
 
     # --- vectors ----------------------------------------------------------------------------------------------------
 
@@ -226,12 +262,14 @@ class Store:
         buckets = sorted(r[0] for r in new.select("bucket").distinct().collect())
         if buckets:
             old = self._read("embeddings", buckets).join(new.select("chunk_id"), "chunk_id", "left_anti")
-            self._write({"embeddings": old.unionByName(new.select(old.columns))}, buckets)
+            now = self.manifest()
+            self._put("embeddings", old.unionByName(new.select(old.columns)), now["version"] + 1)
+            self._name(now, now["version"] + 1, ["embeddings"], buckets)
         new.unpersist()
 
     def missing_embeddings(self) -> DataFrame:
         """(chunk_id, content) of chunks without a vector of their present text."""
-        return self.chunks().join(self.embeddings().select("chunk_id"), "chunk_id", "left_anti").select("chunk_id", "content")
+        return self.chunks().join(hinted(self.embeddings().select("chunk_id")), "chunk_id", "left_anti").select("chunk_id", "content")
 
     def embed(self, provider: EmbeddingProvider, limit: int | None = None, everything: bool = False, tasks: int = 8) -> tuple[int, int]:
         """Embed chunks without a vector (the first `limit` by id), or all; returns (succeeded, failed)."""
@@ -239,7 +277,9 @@ class Store:
         todo = self.chunks().select("chunk_id", "content") if everything else self.missing_embeddings()
         if limit is not None:
             todo = todo.orderBy("chunk_id").limit(limit)
-        done = embed_chunks(todo.repartition(tasks), provider).persist()
+        # texts are shuffled only where they are too few for so many tasks
+        todo = todo.coalesce(tasks) if limit is None and todo.rdd.getNumPartitions() >= tasks else todo.repartition(tasks)
+        done = embed_chunks(todo, provider).persist()
         counts = done.groupBy(F.col("error").isNull().alias("ok")).count().collect()
         self.store_embeddings(done.filter("error is null").drop("error"))
         done.unpersist()
@@ -265,14 +305,20 @@ class Store:
 
     def results(self, ranked: DataFrame) -> DataFrame:
         """The result rows of ranked chunks (chunk_id, score, rank), in order; unknown ids are dropped."""
-        rows = F.broadcast(ranked).join(self.chunks(), "chunk_id").join(self.files().select("file_id", "file_path"), "file_id")  # ranked: a query's few rows
-        return rows.orderBy("rank").select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.RESULT.fields))
+        return self._rows(F.broadcast(ranked)).orderBy("rank").select(*_result())  # ranked: a query's few rows
+
+    def _rows(self, found: DataFrame) -> DataFrame:
+        """found (chunk_id, ...) with the columns of results. Paths are joined by ids, so that texts stay where they are."""
+        placed = found.join(self.chunks().select("chunk_id", "file_id"), "chunk_id").join(self.files().select("file_id", "file_path"), "file_id").drop("file_id")
+        return hinted(placed).join(self.chunks(), "chunk_id")
 
-    def search_keyword(self, query: str, limit: int, options: SearchOptions | None = None) -> DataFrame:
-        """The best chunks by BM25; filters drop rows and leave the corpus's statistics alone."""
+    def search_keyword(self, query: str, limit: int | None, options: SearchOptions | None = None) -> DataFrame:
+        """The best chunks by BM25, or without a limit all that match, in the same order; filters drop rows and leave the corpus's statistics alone."""
         scored = bm25.match_scores(query, self.postings(), self.lengths())
         if options is not None:
             scored = scored.join(self._fitting(options), "chunk_id", "left_semi")
+        if limit is None:
+            return self._rows(scored).orderBy(*bm25.best_first()).select(*_result())
         return self.results(bm25.top(scored, limit))
 
     def _fitting(self, options: SearchOptions) -> DataFrame:

@@ -42,7 +42,7 @@ def index_changes(store: Store, roots: list[str], skip: list[str], embedder=None
     try:
         count = changed.count()
         if count:
-            for r in store.replace_files(sources.read_files(store.spark, roots, changed)).collect():
+            for r in store.replace_read(roots, changed).collect():
                 log.warning("%s: %s", r["file_path"], r["error"])
             if embedder is not None:
                 store.embed(embedder)

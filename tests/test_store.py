@@ -260,3 +260,39 @@ def test_engine_cli_and_server(spark, tmp_path, tree, capsys):
     assert json.loads(out[5]["result"]["content"][0]["text"])["embedding_coverage"] == "100.0%"
     assert out[6]["result"]["isError"] and "across 1 paths" in out[7]["result"]["content"][0]["text"]
     assert main([], engine) == 0 and main(["config", "path"]) == 0
+
+
+def test_texts_and_postings_are_written_without_a_shuffle(spark, store, tmp_path):
+    """Each task writes its own file of a bucket, compactly; postings and lengths are those of the chunks."""
+    from scrollmine.operators.postings import build_postings, doc_lengths
+
+    docs = spark.createDataFrame([(f"/d/{i}.md", 1, f"Älpha beta {i} beta the\n## h{i}\n??") for i in range(40)] + [("/d/empty.md", 1, "")], "file_path string, mtime long, content string").repartition(4)
+    store.replace_files(docs, indexed_at=0, everything=True)
+    for table in ("chunks", "postings"):
+        files = list((tmp_path / "store" / table / "gen=1").glob("bucket=*/*.parquet"))
+        assert len(files) > store.buckets and all(f.name.endswith(".zstd.parquet") for f in files)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(store.postings()) == rows(build_postings(store.chunks())) and rows(store.lengths()) == rows(doc_lengths(store.chunks()))
+    assert {r["chunk_count"] for r in store.files().filter("file_path = '/d/empty.md'").collect()} == {0}
+
+
+@pytest.mark.parametrize("few", [0, 1_000_000])
+def test_an_update_keeps_the_other_files(spark, store, monkeypatch, few):
+    """Whether keys are sent to all tasks or shuffled; a path that occurs again counts with its latest time."""
+    from scrollmine.operators.postings import build_postings
+    from scrollmine.plans import store as module
+
+    monkeypatch.setattr(module, "FEW", few)
+    docs = lambda rows: spark.createDataFrame(rows, "file_path string, mtime long, content string")
+    store.replace_files(docs([(f"/d/{i}.md", 1, f"alpha {i}") for i in range(12)]), indexed_at=0)
+    store.replace_files(docs([("/d/1.md", 1, "older"), ("/d/1.md", 2, "newer alpha"), ("/d/20.md", 1, "other")]), docs([("/d/3.md", 0, "")]).select("file_path"), indexed_at=1)
+    texts = {r["file_path"]: r["content"] for r in store.files().join(store.chunks(), "file_id").collect()}
+    assert texts == {f"/d/{i}.md": f"alpha {i}" for i in range(12) if i != 3} | {"/d/1.md": "newer alpha", "/d/20.md": "other"}
+    assert sorted(map(tuple, store.postings().collect())) == sorted(map(tuple, build_postings(store.chunks()).collect()))
+    assert store.search_keyword("alpha", None).count() == 11
+
+
+def test_a_search_without_a_limit_gives_all_in_order(spark, store):
+    store.replace_files(spark.createDataFrame([(f"/d/{i}.md", 1, "alpha " * (i + 1) + "beta") for i in range(30)], "file_path string, mtime long, content string"), indexed_at=0)
+    every, first = (store.search_keyword("alpha", k).collect() for k in (None, 10))
+    assert len(every) == 30 and every[:10] == first
