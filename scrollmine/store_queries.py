@@ -13,6 +13,8 @@ from scrollmine.queries import _DISTANCE, _WEIGHT, TOP, _as_files, _chunk_sql, _
 from scrollmine.sources.providers import EmbeddingProvider, HashingEmbedder, RerankProvider
 from scrollmine.streaming.watch import index_changes
 
+#: Results in one JSON text.
+PAGE = 1_000
 _CHUNKS = f"c AS ({_chunk_sql('text', 'content')})"
 #: BM25 over chunks: the words of each, their lengths, and the score of the chunks that hold all of the words in q.
 _SCORED = f"""{_CHUNKS}, words AS (SELECT doc_id, chunk_index, regexp_extract_all(strip_accents(lower(content)), '[\\p{{L}}\\p{{N}}\\p{{Co}}]+') AS w FROM c),
@@ -201,9 +203,9 @@ def rerank_fallbacks(spark, d):
 
 @query(f"""WITH q AS (SELECT unnest(['the', 'of']) AS t), {_SCORED} SELECT doc_id, start_line, end_line, '"score":' AS key, octet_length(encode(content)) AS n_bytes FROM scored JOIN c USING (doc_id, chunk_index)""")
 def search_json(spark, d):
-    """The results of a keyword search as the JSON of the command line, read back."""
-    found = _indexed(spark, d, "json").search_keyword("the of", 1_000_000)
-    ranked = found.withColumn("query_id", F.lit(0)).withColumn("rank", F.monotonically_increasing_id())
+    """All results of a keyword search as the JSON of the command line, read back; in pages, as a text has its bounds."""
+    found = _indexed(spark, d, "json").search_keyword("the of", None)
+    ranked = found.withColumn("rank", F.monotonically_increasing_id()).withColumn("query_id", F.floor(F.col("rank") / PAGE))
     parsed = F.from_json("json", "results array<struct<file:string,lines:string,score:double,snippet:string>>")["results"]
     rows = formats.json_rows(ranked).select(F.explode(parsed).alias("r"))
     lines = F.split("r.lines", "-")
