@@ -41,7 +41,7 @@ def _files(docs: DataFrame, text="text") -> DataFrame:
 @query(f"WITH q AS (SELECT unnest(['the', 'of']) AS t), {_SCORED} SELECT doc_id, start_line, end_line, md5(content) AS content_md5, round(score, 6) AS score FROM scored JOIN c USING (doc_id, chunk_index) WHERE doc_id::VARCHAR LIKE '%1%'")
 def store_search_keyword(spark, d):
     """All chunks that match, of files whose path fits a pattern; the corpus's statistics are those of all chunks."""
-    found = _indexed(spark, d, "keyword").search_keyword("the of", 1_000_000, SearchOptions(file_pattern="*1*.md"))
+    found = _indexed(spark, d, "keyword").search_keyword("the of", None, SearchOptions(file_pattern="*1*.md"))
     return found.select(_id(), "start_line", "end_line", F.md5("content").alias("content_md5"), F.round("score", 6).alias("score"))
 
 
