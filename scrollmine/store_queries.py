@@ -9,6 +9,7 @@ from scrollmine.api import Engine
 from scrollmine.config import Config
 from scrollmine.operators.filters import SearchOptions
 from scrollmine.plans import formats
+from scrollmine.plans.store import hinted
 from scrollmine.queries import _DISTANCE, _WEIGHT, TOP, _as_files, _chunk_sql, _put, _store, _table, query
 from scrollmine.sources.providers import EmbeddingProvider, HashingEmbedder, RerankProvider
 from scrollmine.streaming.watch import index_changes
@@ -45,6 +46,11 @@ def store_search_keyword(spark, d):
     return found.select(_id(), "start_line", "end_line", F.md5("content").alias("content_md5"), F.round("score", 6).alias("score"))
 
 
+def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents with one of the labels."""
+    return docs.join(hinted(labels.select("doc_id")), "doc_id", "left_semi")
+
+
 def _first_chunks(store) -> DataFrame:
     """(chunk_id, doc_id, content) of each file's first chunk."""
     return store.files().join(store.chunks().filter("chunk_index = 0"), "file_id").select("chunk_id", _id(), "content")
@@ -92,8 +98,8 @@ def store_vectors(spark, d):
     store.store_embeddings(newer.union(vectors.select(-F.col("doc_id") - 1, "embedding")))
     labels = _table(spark, d, "labels")
     docs = _table(spark, d, "documents").filter("text is not null")
-    changed = docs.join(labels.filter("toxic = 1 and quality <> 0 or toxic = 1 and quality is null"), "doc_id", "left_semi").withColumn("text", F.concat(F.lit("new "), "text"))
-    gone = docs.join(labels.filter("quality = 0"), "doc_id", "left_semi")
+    changed = _labelled(docs, labels.filter("toxic = 1 and quality <> 0 or toxic = 1 and quality is null")).withColumn("text", F.concat(F.lit("new "), "text"))
+    gone = _labelled(docs, labels.filter("quality = 0"))
     store.replace_files(_files(changed), _files(gone).select("file_path"), indexed_at=1)
     return store.embeddings().join(_first_chunks(store), "chunk_id").select("doc_id", F.get("embedding", F.lit(0)).cast("double").alias("first_value"))
 
@@ -125,9 +131,10 @@ def store_embed(spark, d):
 def upsert_texts(spark, d):
     """All texts as files, then those of toxic documents replaced: the chunks of the store."""
     store = _indexed(spark, d, "texts")
-    docs = _table(spark, d, "documents").filter("text is not null").join(_table(spark, d, "labels").filter("toxic = 1"), "doc_id", "left_semi")
+    docs = _labelled(_table(spark, d, "documents").filter("text is not null"), _table(spark, d, "labels").filter("toxic = 1"))
     store.replace_files(_files(docs.withColumn("text", F.concat(F.lit("new "), "text"))), indexed_at=1)
-    return store.files().join(store.chunks(), "file_id").select(_id(), "chunk_index", "start_line", "end_line", F.md5("content").alias("content_md5"))
+    chunks = store.chunks().select("file_id", "chunk_index", "start_line", "end_line", F.md5("content").alias("content_md5"))  # texts don't move
+    return store.files().join(chunks, "file_id").select(_id(), "chunk_index", "start_line", "end_line", "content_md5")
 
 
 def _write_items(spark, d, folder: str) -> list[tuple[int, str]]:
