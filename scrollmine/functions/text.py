@@ -47,16 +47,27 @@ def tokens(text: Column | str) -> Column:
     return F.regexp_extract_all(fold(text), F.lit(TOKEN), F.lit(0))
 
 
+class _Letters(dict):
+    """What str.translate() makes of a lower-case character: folded if it belongs to a token, a space if not; filled as characters are met."""
+
+    def __init__(self):
+        super().__init__(zip(map(ord, _fold_table()[0]), _fold_table()[1], strict=True))
+        self.update(dict.fromkeys(range(0x300, 0x370)))  # marks go
+
+    def __missing__(self, code: int) -> int:
+        kind = unicodedata.category(chr(code))
+        self[code] = place = code if kind[0] in "LN" or kind == "Co" else 0x20
+        return place
+
+
+@cache
+def _letters() -> _Letters:
+    return _Letters()
+
+
 def query_tokens(text: str) -> list[str]:
     """tokens() for a query on the driver."""
-    out, run = [], []
-    for c in fold_text(text) + " ":
-        if unicodedata.category(c)[0] in "LN" or unicodedata.category(c) == "Co":
-            run.append(c)
-        elif run:
-            out.append("".join(run))
-            run = []
-    return out
+    return [t for t in text.lower().translate(_letters()).split(" ") if t]
 
 
 def lines(text: Column | str) -> Column:

@@ -6,13 +6,15 @@ vectors lie in their file's bucket, so an update rewrites them with their chunks
 path and chunk number; vectors carry a hash of the text they were made of, so a vector of an older text is no vector.
 
 Texts and postings are never shuffled to be written: each task writes its own file of each bucket, sorted, and postings
-are made batch by batch of the chunks as written. Only paths, ids and counts move.
+are made batch by batch of the chunks as written. Only paths, ids and counts move. The first vectors of a bucket are
+written the same way; later ones are joined by chunk.
 """
 
 from __future__ import annotations
 
 import json
 import time
+import uuid
 from dataclasses import dataclass
 from functools import reduce
 
@@ -145,10 +147,14 @@ class Store:
     def _bucket(self, path: str = "file_path"):
         return F.pmod(F.xxhash64(path), F.lit(self.buckets)).cast("int")
 
-    def _put(self, table: str, rows: DataFrame, version: int) -> None:
-        """Write a generation of a table; each task writes its rows of each bucket."""
+    def _write(self, table: str, rows: DataFrame, path: str) -> None:
+        """Write rows of a table; each task writes its rows of each bucket."""
         columns = [f.name for f in TABLES[table].fields]
-        rows.select(*columns, "bucket").sortWithinPartitions("bucket", *ORDER[table]).write.options(**PARQUET).partitionBy("bucket").parquet(f"{self.root}/{table}/gen={version}")
+        rows.select(*columns, "bucket").sortWithinPartitions("bucket", *ORDER[table]).write.options(**PARQUET).partitionBy("bucket").parquet(path)
+
+    def _put(self, table: str, rows: DataFrame, version: int) -> None:
+        """Write a generation of a table."""
+        self._write(table, rows, f"{self.root}/{table}/gen={version}")
 
     def _name(self, now: dict, version: int, tables: list[str], buckets: list[int]) -> None:
         """Commit what _put() wrote of the buckets; those without rows are empty from now on."""
@@ -269,22 +275,56 @@ class Store:
 
     def missing_embeddings(self) -> DataFrame:
         """(chunk_id, content) of chunks without a vector of their present text."""
-        return self.chunks().join(hinted(self.embeddings().select("chunk_id")), "chunk_id", "left_anti").select("chunk_id", "content")
+        return self._missing().select("chunk_id", "content")
+
+    def _missing(self) -> DataFrame:
+        """missing_embeddings() with all columns of chunks and their bucket."""
+        chunks = self._read("chunks")
+        if not self.manifest()["tables"]["embeddings"]:
+            return chunks
+        return chunks.join(hinted(self.embeddings().select("chunk_id")), "chunk_id", "left_anti")
 
     def embed(self, provider: EmbeddingProvider, limit: int | None = None, everything: bool = False, tasks: int = 8) -> tuple[int, int]:
-        """Embed chunks without a vector (the first `limit` by id), or all; returns (succeeded, failed)."""
+        """Embed chunks without a vector (the first `limit` by id), or all; returns (succeeded, failed).
+
+        Vectors keep their chunk's bucket, so each task writes its own and none are cached or shuffled; where buckets
+        have no vectors yet, what was written becomes their generation.
+        """
         provider.ensure_ready()
-        todo = self.chunks().select("chunk_id", "content") if everything else self.missing_embeddings()
+        begun = self.manifest()
+        todo = (self._read("chunks") if everything else self._missing()).select("chunk_id", "content", "bucket")
         if limit is not None:
             todo = todo.orderBy("chunk_id").limit(limit)
+        total = todo.count()
+        if total and provider.dimensions != self.dimensions:
+            raise ValueError(f"vectors need {self.dimensions} dimensions")
         # texts are shuffled only where they are too few for so many tasks
         todo = todo.coalesce(tasks) if limit is None and todo.rdd.getNumPartitions() >= tasks else todo.repartition(tasks)
-        done = embed_chunks(todo, provider).persist()
-        counts = done.groupBy(F.col("error").isNull().alias("ok")).count().collect()
-        self.store_embeddings(done.filter("error is null").drop("error"))
-        done.unpersist()
-        by = {r["ok"]: r["count"] for r in counts}
-        return by.get(True, 0), by.get(False, 0)
+        staged = f"{self.root}/staged/{uuid.uuid4().hex}"
+        try:
+            self._write("embeddings", embed_chunks(todo, provider).filter("error is null"), staged)
+            wide = schema.T.StructType([*TABLES["embeddings"].fields, schema.T.StructField("bucket", schema.T.IntegerType())])
+            vectors = self.spark.read.schema(wide).parquet(staged)
+            succeeded = vectors.count()
+            if succeeded:
+                self._take(vectors, staged, begun)
+        finally:
+            self._fs.delete(self._path(staged), True)
+        return succeeded, total - succeeded
+
+    def _take(self, vectors: DataFrame, staged: str, begun: dict) -> None:
+        """Make written vectors part of the store: as they are if their buckets have none and no chunk has changed since `begun`, else by store_embeddings()."""
+        now = self.manifest()
+        version, live = now["version"] + 1, now["tables"]["embeddings"]
+        buckets = sorted(int(s.getPath().getName()[7:]) for s in self._fs.listStatus(self._path(staged)) if s.getPath().getName().startswith("bucket="))
+        target = self._path(f"{self.root}/embeddings/gen={version}")
+        if now["tables"]["chunks"] != begun["tables"]["chunks"] or any(str(b) in live for b in buckets) or self._fs.exists(target):
+            self.store_embeddings(vectors.drop("bucket"))
+            return
+        self._fs.mkdirs(target.getParent())
+        if not self._fs.rename(self._path(staged), target):
+            raise RuntimeError(f"another update is writing version {version}")
+        self._name(now, version, ["embeddings"], buckets)
 
     def migrate_blobs(self, legacy: DataFrame) -> None:
         """Take over vectors (chunk_id, embedding binary): little-endian floats; those of unknown chunks or another length are skipped."""

@@ -8,6 +8,7 @@ import os
 import urllib.request
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -50,6 +51,11 @@ class EmbeddingProvider:
         """Make the model available, on the driver, before texts are sent."""
 
 
+@lru_cache(100_000)
+def _hash(token: str) -> int:
+    return int(hashlib.md5(token.encode()).hexdigest()[:8], 16)  # noqa: S324
+
+
 class HashingEmbedder(EmbeddingProvider):
     """Feature hashing of tokens: deterministic, offline. hashed_vectors() gives the same as columns."""
 
@@ -57,9 +63,8 @@ class HashingEmbedder(EmbeddingProvider):
         self.dimensions = dimensions
 
     def embed(self, text: str) -> list[float]:
-        v = np.zeros(self.dimensions)
-        for t in query_tokens(text):
-            v[int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % self.dimensions] += 1  # noqa: S324
+        places = np.array([_hash(t) for t in query_tokens(text)], np.int64) % self.dimensions
+        v = np.bincount(places, minlength=self.dimensions).astype(np.float64)
         norm = np.sqrt((v * v).sum())
         return (v / norm if norm else v).astype(np.float32).tolist()
 
@@ -106,7 +111,8 @@ class HttpEmbedder(EmbeddingProvider):
 
 
 def embed_chunks(chunks: DataFrame, provider: EmbeddingProvider) -> DataFrame:
-    """(chunk_id, content_hash, embedding, error) of chunks (chunk_id, content): a failed text has an error and no vector, and stops no other."""
+    """(chunk_id, content_hash, embedding, error) of chunks (chunk_id, content), and their bucket if they have one: a failed text has an error and no vector, and stops no other."""
+    placed = ["bucket"] if "bucket" in chunks.columns else []
 
     def run(it):
         for pdf in it:
@@ -119,10 +125,10 @@ def embed_chunks(chunks: DataFrame, provider: EmbeddingProvider) -> DataFrame:
                     rows.append((np.asarray(v, np.float32), None))
                 except Exception as e:  # noqa: BLE001  kept as that text's error
                     rows.append((None, str(e) or type(e).__name__))
-            yield pd.DataFrame({"chunk_id": pdf["chunk_id"], "content_hash": pdf["content_hash"], "embedding": [v for v, _ in rows], "error": [e for _, e in rows]})
+            yield pd.DataFrame({"chunk_id": pdf["chunk_id"], "content_hash": pdf["content_hash"], "embedding": [v for v, _ in rows], "error": [e for _, e in rows], **{c: pdf[c] for c in placed}})
 
-    rows = chunks.select("chunk_id", F.xxhash64("content").alias("content_hash"), "content")
-    return rows.mapInPandas(run, "chunk_id long, content_hash long, embedding array<float>, error string")
+    rows = chunks.select("chunk_id", F.xxhash64("content").alias("content_hash"), "content", *placed)
+    return rows.mapInPandas(run, "chunk_id long, content_hash long, embedding array<float>, error string" + ", bucket int" * len(placed))
 
 
 class RerankProvider:

@@ -11,6 +11,7 @@ from scrollmine.cli import main
 from scrollmine.config import Config, expand_home
 from scrollmine.functions.vectors import to_bytes
 from scrollmine.mcp import Server
+from scrollmine.operators import postings
 from scrollmine.operators import rerank as R
 from scrollmine.operators.filters import SearchOptions
 from scrollmine.operators.fusion import rrf
@@ -111,6 +112,42 @@ def test_vectors(spark, store, tree):
         store.store_embeddings(spark.createDataFrame([(ids[0], [1.0])], "chunk_id long, embedding array<float>"))
 
 
+def test_first_vectors_are_written_where_they_are_made(spark, store, tree, monkeypatch):
+    """No join, cache or second copy of the vectors of a store that has none; what an update changes meanwhile is joined."""
+    store.index_full([str(tree)])
+    with monkeypatch.context() as m:
+        m.setattr(store, "store_embeddings", lambda vectors: pytest.fail("vectors were joined"))
+        m.setattr("pyspark.sql.DataFrame.persist", lambda *a: pytest.fail("vectors were cached"))
+        assert store.embed(P.HashingEmbedder(8)) == (5, 0)
+    assert store.embedding_stats() == (5, 5) and store.missing_embeddings().count() == 0
+    assert not os.listdir(f"{store.root.removeprefix('file://')}/staged")
+    got = {r["chunk_id"]: r["embedding"] for r in store.embeddings().collect()}
+    assert all(np.allclose(got[r["chunk_id"]], P.HashingEmbedder(8).embed(r["content"])) for r in store.chunks().collect())
+
+    take = store._take
+
+    def changed(*a):
+        put(tree, {"sub/n.md": "alpha again"}, at=1_700_000_000)
+        store.index_incremental([str(tree)])
+        take(*a)
+
+    monkeypatch.setattr(store, "_take", changed)
+    assert store.embed(P.HashingEmbedder(8), everything=True) == (5, 0)
+    assert store.embedding_stats() == (4, 5)
+    with pytest.raises(ValueError):
+        store.embed(P.HashingEmbedder(9))
+
+
+def test_postings_of_few_texts_at_a_time_are_the_same(spark, monkeypatch):
+    texts = ["alpha beta alpha", "", "beta gamma", "delta", "alpha delta beta beta", "...", "gamma gamma"]
+    chunks = spark.createDataFrame([(i, i % 2, t) for i, t in enumerate(texts)], "chunk_id long, bucket int, content string").coalesce(1)
+    monkeypatch.setattr(postings, "_TEXTS", 3)
+    got = postings.chunk_postings(chunks)
+    key = lambda r: (r["term"], r["chunk_id"], tuple(r["positions"]))
+    assert sorted(map(key, got.collect())) == sorted(map(key, postings.build_postings(chunks).collect()))
+    assert got.filter(F.col("bucket") != F.col("chunk_id") % 2).isEmpty()
+
+
 def test_native_hashing_equals_the_provider(spark):
     texts = ["alpha beta beta", "café Straße x1", "one"]
     df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
