@@ -31,9 +31,9 @@ def fold(text: Column | str) -> Column:
     """Lower case without diacritics (Latin letters, composed or decomposed)."""
     letters, base = _fold_table()
     lower = F.lower(F.col(text) if isinstance(text, str) else text)
-    # most texts are plain: the table is used only where there is something to fold
+    # most texts are plain: the table, which ends before U+2000, is used only where there is something to fold
     plain = F.translate(F.regexp_replace(lower, _MARKS, ""), letters, base)
-    return F.when(lower.rlike("[^\\x00-\\x7F]"), plain).otherwise(lower)
+    return F.when(lower.rlike("[\\u00C0-\\u1FFF]"), plain).otherwise(lower)
 
 
 def fold_text(text: str) -> str:

@@ -279,10 +279,11 @@ class Store:
 
     def _missing(self) -> DataFrame:
         """missing_embeddings() with all columns of chunks and their bucket."""
-        chunks = self._read("chunks")
-        if not self.manifest()["tables"]["embeddings"]:
+        chunks, stored = self._read("chunks"), self._read("embeddings").count()  # from the files' footers; as many vectors at most
+        if not stored:
             return chunks
-        return chunks.join(hinted(self.embeddings().select("chunk_id")), "chunk_id", "left_anti")
+        keys = self.embeddings().select("chunk_id")
+        return chunks.join(F.broadcast(keys) if stored <= FEW else keys, "chunk_id", "left_anti")
 
     def embed(self, provider: EmbeddingProvider, limit: int | None = None, everything: bool = False, tasks: int = 8) -> tuple[int, int]:
         """Embed chunks without a vector (the first `limit` by id), or all; returns (succeeded, failed).

@@ -8,7 +8,6 @@ import os
 import urllib.request
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -51,9 +50,19 @@ class EmbeddingProvider:
         """Make the model available, on the driver, before texts are sent."""
 
 
-@lru_cache(100_000)
-def _hash(token: str) -> int:
-    return int(hashlib.md5(token.encode()).hexdigest()[:8], 16)  # noqa: S324
+class _Hashes(dict):
+    """The first 32 bits of words' MD5; a bounded number is remembered."""
+
+    MOST = 300_000
+
+    def __missing__(self, token: str) -> int:
+        value = int.from_bytes(hashlib.md5(token.encode()).digest()[:4], "big")  # noqa: S324
+        if len(self) < self.MOST:
+            self[token] = value
+        return value
+
+
+_hashes = _Hashes()
 
 
 class HashingEmbedder(EmbeddingProvider):
@@ -63,7 +72,8 @@ class HashingEmbedder(EmbeddingProvider):
         self.dimensions = dimensions
 
     def embed(self, text: str) -> list[float]:
-        places = np.array([_hash(t) for t in query_tokens(text)], np.int64) % self.dimensions
+        found = query_tokens(text)
+        places = np.fromiter(map(_hashes.__getitem__, found), np.int64, len(found)) % self.dimensions
         v = np.bincount(places, minlength=self.dimensions).astype(np.float64)
         norm = np.sqrt((v * v).sum())
         return (v / norm if norm else v).astype(np.float32).tolist()

@@ -120,6 +120,9 @@ def test_first_vectors_are_written_where_they_are_made(spark, store, tree, monke
         m.setattr("pyspark.sql.DataFrame.persist", lambda *a: pytest.fail("vectors were cached"))
         assert store.embed(P.HashingEmbedder(8)) == (5, 0)
     assert store.embedding_stats() == (5, 5) and store.missing_embeddings().count() == 0
+    with monkeypatch.context() as m:
+        m.setattr("scrollmine.plans.store.hinted", lambda keys: pytest.fail("the join of vectors and texts was run to be counted"))
+        assert store.missing_embeddings().count() == 0
     assert not os.listdir(f"{store.root.removeprefix('file://')}/staged")
     got = {r["chunk_id"]: r["embedding"] for r in store.embeddings().collect()}
     assert all(np.allclose(got[r["chunk_id"]], P.HashingEmbedder(8).embed(r["content"])) for r in store.chunks().collect())
@@ -148,6 +151,14 @@ def test_postings_of_few_texts_at_a_time_are_the_same(spark, monkeypatch):
     assert got.filter(F.col("bucket") != F.col("chunk_id") % 2).isEmpty()
 
 
+def test_a_provider_remembers_a_bounded_number_of_words(monkeypatch):
+    words = [f"word{i} naïve “quoted” café" for i in range(9)]
+    want = [P.HashingEmbedder(16).embed(t) for t in words]
+    monkeypatch.setattr(P._Hashes, "MOST", 3)
+    monkeypatch.setattr(P, "_hashes", P._Hashes())
+    assert [P.HashingEmbedder(16).embed(t) for t in words] == want and len(P._hashes) == 3
+
+
 def test_native_hashing_equals_the_provider(spark):
     texts = ["alpha beta beta", "café Straße x1", "one"]
     df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
