@@ -79,6 +79,18 @@ def top(scored: DataFrame, k: int) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(Window.orderBy(*best_first())))
 
 
+def top_and(scored: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
+    """(chunk_id, rank) of the best k rows, and of those in `wanted` (chunk_id; few), however far down they stand.
+
+    A wanted row's rank is the number of rows up to it in top()'s order, counted where they are: no task sorts them all.
+    """
+    place = lambda score, key: F.struct(-F.round(score, 9), F.col(key).alias("id"))
+    own = scored.join(F.broadcast(wanted.select("chunk_id")), "chunk_id", "left_semi").select(F.col("chunk_id").alias("__id"), F.col("score").alias("__score"))
+    upto = scored.crossJoin(F.broadcast(own)).filter(place("score", "chunk_id") <= place("__score", "__id"))
+    below = upto.groupBy(F.col("__id").alias("chunk_id")).agg(F.count("*").cast("int").alias("rank"))
+    return top(scored, k).select("chunk_id", "rank").unionByName(below).groupBy("chunk_id").agg(F.min("rank").alias("rank"))
+
+
 def match_top(query: str, postings: DataFrame, lengths: DataFrame, k: int) -> DataFrame:
     """(chunk_id, score, rank) of the best k chunks."""
     return top(match_scores(query, postings, lengths), k)

@@ -18,7 +18,7 @@ import uuid
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scrollmine import schema
@@ -362,20 +362,34 @@ class Store:
             return self._rows(scored).orderBy(*bm25.best_first()).select(*_result())
         return self.results(bm25.top(scored, limit))
 
-    def _fitting(self, options: SearchOptions) -> DataFrame:
-        """(chunk_id) of the chunks that pass the filters."""
-        return self.chunks().join(self.files().select("file_id", "file_path"), "file_id").filter(options.condition()).select("chunk_id")
+    def _fitting(self, options: SearchOptions, *more: Column) -> DataFrame:
+        """(chunk_id, more) of the chunks that pass the filters."""
+        return self.chunks().join(self.files().select("file_id", "file_path"), "file_id").filter(options.condition()).select("chunk_id", *more)
+
+    def _placed(self, rows: DataFrame, options: SearchOptions | None, ties: list[Column | str] | None) -> DataFrame:
+        """Rows (chunk_id, ...) that pass the filters; with `ties`, chunk_id is a struct of these and the id, in whose order equals stand."""
+        if ties:
+            keys = self._fitting(options or SearchOptions(), F.struct(*ties, "chunk_id").alias("__key"))
+            return rows.join(keys, "chunk_id").withColumn("chunk_id", F.col("__key")).drop("__key")
+        return rows if options is None else rows.join(self._fitting(options), "chunk_id", "left_semi")
 
     def search_vector(self, vector: list[float], limit: int, options: SearchOptions | None = None) -> DataFrame:
         """(chunk_id, distance, rank)."""
-        vectors = self.embeddings()
-        return knn(vectors if options is None else vectors.join(self._fitting(options), "chunk_id", "left_semi"), vector, limit)
+        return knn(self._placed(self.embeddings(), options, None), vector, limit)
 
-    def search_hybrid(self, query: str, vector: list[float], limit: int, k: int = RRF_K, options: SearchOptions | None = None) -> DataFrame:
-        """Keyword and vector lists of OVERFETCH * limit each, fused; options apply only if given (they don't by default), to both lists."""
-        scored = bm25.match_scores(query, self.postings(), self.lengths())
-        if options is not None:
-            scored = scored.join(self._fitting(options), "chunk_id", "left_semi")
-        words = bm25.top(scored, limit * OVERFETCH)
-        near = self.search_vector(vector, limit * OVERFETCH, options)
-        return self.results(rrf([x.withColumn("query_id", F.lit(0)) for x in (words, near)], limit, k))
+    def search_hybrid(self, query: str, vector: list[float], limit: int, k: int = RRF_K, options: SearchOptions | None = None, whole: bool = False, ties: list[Column | str] | None = None) -> DataFrame:
+        """Keyword and vector lists of OVERFETCH * limit each, fused; options apply only if given (they don't by default), to both lists.
+
+        With `whole`, the keyword list is all that match. `ties` (columns of chunks and file_path) order equals, in the
+        lists and the result, before the chunk's id. The near list and the result are few rows and go by the driver.
+        """
+        scored = self._placed(bm25.match_scores(query, self.postings(), self.lengths()), options, ties)
+        near = self._held(knn(self._placed(self.embeddings(), options, ties), vector, limit * OVERFETCH).select("chunk_id", "rank"))
+        # results are near ones or among the best `limit` others, which the near ones push down by their number at most
+        words = bm25.top_and(scored, limit * (OVERFETCH + 1), near) if whole else bm25.top(scored, limit * OVERFETCH)
+        fused = rrf([x.withColumn("query_id", F.lit(0)) for x in (words, near)], limit, k, places=10)
+        return self.results(self._held(fused.withColumn("chunk_id", F.col("chunk_id.chunk_id")) if ties else fused))
+
+    def _held(self, few: DataFrame) -> DataFrame:
+        """A few rows, computed once."""
+        return self.spark.createDataFrame(few.collect(), few.schema)

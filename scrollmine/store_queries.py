@@ -81,9 +81,10 @@ def store_search_vector(spark, d):
   SELECT doc_id, round(sum(1.0 / (60 + CAST(rank AS DOUBLE))), 10) AS score FROM lists GROUP BY doc_id, chunk_index ORDER BY score DESC, doc_id LIMIT {TOP}"""
 )
 def store_search_hybrid(spark, d):
-    """Both lists, each of files whose path fits a pattern alone, fused."""
+    """Both lists, each of files whose path fits a pattern alone, fused: all chunks with the words, and the nearest 3 * TOP; ties by document."""
     asked = _table(spark, d, "embeddings").filter("vec_id = 0").first()["embedding"]
-    found = _with_vectors(spark, d, "hybrid").search_hybrid("rights nicht", list(asked), TOP, options=SearchOptions(file_pattern="*1*.md"))
+    store = _with_vectors(spark, d, "hybrid")
+    found = store.search_hybrid("rights nicht", list(asked), TOP, options=SearchOptions(file_pattern="*1*.md"), whole=True, ties=[_id(), "chunk_index"])
     return found.select(_id(), F.round("score", 10).alias("score"))
 
 
